@@ -257,8 +257,8 @@ def score_stats(scores: DataFrame) -> DataFrame:
     """Count, mean, sample deviation and median of the score per hit flag."""
     return scores.groupBy("is_hit").agg(
         F.count("*").alias("n"),
-        F.round(F.avg("match_score"), 6).alias("mean_score"),
-        F.round(F.stddev("match_score"), 6).alias("std_score"),
+        F.round(F.avg("match_score"), 9).alias("mean_score"),
+        F.round(F.stddev("match_score"), 9).alias("std_score"),
         F.percentile_approx("match_score", 0.5, 10000).alias("median_score"),
     )
 
@@ -291,9 +291,9 @@ def overlap_scores(a: DataFrame, b: DataFrame, keys: Sequence[str], by: str = "s
     aggs = [F.count("*").alias("n")]
     for s in ("score_a", "score_b"):
         aggs += [
-            F.round(F.avg(s), 6).alias(f"mean_{s}"),
-            F.round(F.stddev(s), 6).alias(f"std_{s}"),
-            F.round(F.percentile(s, 0.5), 6).alias(f"median_{s}"),
+            F.round(F.avg(s), 9).alias(f"mean_{s}"),
+            F.round(F.stddev(s), 9).alias(f"std_{s}"),
+            F.round(F.percentile(s, 0.5), 9).alias(f"median_{s}"),
         ]
     return left.join(right, [by, *keys]).groupBy(by).agg(*aggs)
 

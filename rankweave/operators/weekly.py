@@ -228,10 +228,10 @@ def person_features(features: DataFrame) -> DataFrame:
     sums = features.groupBy("person_id").agg(
         F.sum("pair_week_distinct").alias("pair_week_distinct"),
         F.sum("worsen_count").alias("worsen_count"),
-        F.round(F.sum("pair_final_weight"), 4).alias("pair_final_weight"),
+        F.round(F.sum("pair_final_weight"), 6).alias("pair_final_weight"),
     )
     return sums.withColumn(
-        "normalized_weight", F.round(F.col("pair_final_weight") / (F.col("pair_week_distinct") + 1), 4)
+        "normalized_weight", F.round(F.col("pair_final_weight") / (F.col("pair_week_distinct") + 1), 9)
     )
 
 
