@@ -7,11 +7,9 @@ table is ever materialised, and nothing is broadcast or collected.
 
 from __future__ import annotations
 
-from math import ceil
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -36,14 +34,22 @@ def cell_top_k(
 
     ``queries``: query_key + vector; ``candidates``: group + candidate + vector (``group`` is part of query_key).
     """
-    n_q = max(1, ceil(queries.count() / query_bucket))
-    n_c = max(1, ceil(candidates.count() / candidate_bucket))
-    cells_q = queries.withColumn("_qb", F.pmod(F.xxhash64(*query_key), F.lit(n_q)).cast("int")).withColumn(
-        "_cb", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1)))
-    )
-    cells_c = candidates.withColumn("_cb", F.pmod(F.xxhash64("candidate"), F.lit(n_c)).cast("int")).withColumn(
-        "_qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))
-    )
+    def buckets(df: DataFrame, size: int) -> Column:
+        # a scalar subquery: the number of buckets follows the measured rows without an action while planning
+        return df.select(F.greatest(F.ceil(F.count("*") / size), F.lit(1)).cast("int").alias("n")).scalar()
+
+    n_q, n_c = buckets(queries, query_bucket), buckets(candidates, candidate_bucket)
+
+    def place(df: DataFrame, own: str, key: list[str], n_own: Column, other: str, n_other: Column) -> DataFrame:
+        return (
+            df.withColumn(own, F.pmod(F.xxhash64(*key), n_own).cast("int"))
+            .withColumn("_last", n_other - 1)
+            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col("_last"))))
+            .drop("_last")
+        )
+
+    cells_q = place(queries, "_qb", query_key, n_q, "_cb", n_c)
+    cells_c = place(candidates, "_cb", ["candidate"], n_c, "_qb", n_q)
     keys = group + ["_qb", "_cb"]
     types = {f.name: f.dataType.simpleString() for f in queries.schema.fields}
     out = ", ".join(f"{c} {types[c]}" for c in query_key) + ", candidate string, score double"

@@ -40,8 +40,8 @@ def words(c: Column) -> Column:
 
 def split_trim(c: Column, sep_regex: str, trim: bool = True) -> Column:
     """Delimited text to an array; blanks around the parts are dropped unless ``trim`` is off."""
-    parts = F.split(c, sep_regex)
-    return F.transform(parts, lambda x: F.trim(x)) if trim else parts
+    # one split with the blanks in the pattern: no lambda, so equal plans stay comparable and exchanges reusable
+    return F.split(F.trim(c), rf"\s*{sep_regex}\s*") if trim else F.split(c, sep_regex)
 
 
 def is_negated(name: Column, negations: Sequence[str] = NEGATIONS) -> Column:

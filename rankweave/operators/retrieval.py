@@ -9,42 +9,59 @@ from pyspark.sql import functions as F
 
 from rankweave.functions.blocks import cell_top_k
 from rankweave.functions.text import split_trim
+from rankweave.session import checkpoint
 
 # Scores are rounded to this many digits before they are ranked, so that ties do not depend on summation order.
 SCORE_DIGITS = 6
 
 
-def _term_table(mentions: DataFrame) -> DataFrame:
-    """tf and one display name and type per (model, disease, CUI).  Map-side combined, so hot concepts stay cheap."""
-    return mentions.groupBy("model", "disease", "CUI").agg(
-        F.count("*").alias("tf"),
-        F.min("UMLS_name").alias("UMLS_name"),
-        F.min("semantic_type_name").alias("semantic_type_name"),
+def _variants(mentions: DataFrame) -> DataFrame:
+    """Mentions counted per (model, disease, CUI, name, type), combined map-side and written once.
+
+    This is the only pass over the mentions: everything below reads the compact stored table.
+    """
+    keys = ["model", "disease", "CUI"]
+    rows = mentions.dropna(subset=keys).groupBy(*keys, "UMLS_name", "semantic_type_name")
+    return checkpoint(rows.agg(F.count("*").alias("n")))
+
+
+def _term_table(variants: DataFrame) -> DataFrame:
+    """tf per (model, disease, CUI), clustered by disease: a disease has at most one row per concept."""
+    return variants.repartition("model", "disease").groupBy("model", "disease", "CUI").agg(F.sum("n").alias("tf"))
+
+
+def _lengths(terms: DataFrame) -> DataFrame:
+    return terms.groupBy("model", "disease").agg(F.sum("tf").alias("doc_len"))
+
+
+def _concepts(variants: DataFrame, terms: DataFrame) -> DataFrame:
+    """df, and one display name and type (the smallest), per (model, CUI)."""
+    df = terms.groupBy("model", "CUI").agg(F.count("*").alias("df"))
+    # the few spellings of a concept as a set: string minima would sort all rows
+    names = variants.groupBy("model", "CUI").agg(
+        F.array_min(F.collect_set("UMLS_name")).alias("UMLS_name"),
+        F.array_min(F.collect_set("semantic_type_name")).alias("semantic_type_name"),
     )
+    return df.join(names, ["model", "CUI"])
 
 
 def bm25_index(mentions: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """BM25 weight of every (model, disease, CUI).
 
     ``idf = ln((N + 1) / (df + 0.5))``, ``bm25 = idf * tf*(k1+1) / (tf + k1*(1 - b + b*doc_len/avg_doc_len))`` with
-    N and avg_doc_len per model.  The mentions are read once into the term table; document length, df and the model
-    totals are aggregates of that table, joined by key.  One name per concept: the smallest within the model.
+    N and avg_doc_len per model.  Document length, df and the model totals are aggregates of one term table, joined
+    by key.  One name per concept: the smallest within the model.
     """
-    terms = _term_table(mentions)
-    lengths = terms.groupBy("model", "disease").agg(F.sum("tf").alias("doc_len"))
+    variants = _variants(mentions)
+    terms = _term_table(variants)
+    lengths = _lengths(terms)
     totals = lengths.groupBy("model").agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_doc_len"))
-    concepts = terms.groupBy("model", "CUI").agg(
-        F.count("*").alias("df"),
-        F.min("UMLS_name").alias("UMLS_name"),
-        F.min("semantic_type_name").alias("semantic_type_name"),
-    )
     idf = F.log((F.col("n_docs") + 1) / (F.col("df") + 0.5))
     tf = F.col("tf")
     norm = tf + k1 * (1 - b + b * F.col("doc_len") / F.col("avg_doc_len"))
     return (
-        terms.select("model", "disease", "CUI", "tf")
-        .join(lengths, ["model", "disease"])
-        .join(concepts, ["model", "CUI"])
+        terms.join(lengths, ["model", "disease"])
+        .join(_concepts(variants, terms), ["model", "CUI"])
         .join(totals, "model")
         .select(
             "model",
@@ -62,12 +79,11 @@ def bm25_index(mentions: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFra
 
 def tfidf(mentions: DataFrame) -> DataFrame:
     """``tf * ln(N / df)`` per (model, disease, CUI), N = diseases of the model."""
-    terms = _term_table(mentions)
-    totals = terms.groupBy("model").agg(F.count_distinct("disease").alias("n_docs"))
-    concepts = terms.groupBy("model", "CUI").agg(F.count("*").alias("df"), F.min("UMLS_name").alias("UMLS_name"))
+    variants = _variants(mentions)
+    terms = _term_table(variants)
+    totals = _lengths(terms).groupBy("model").agg(F.count("*").alias("n_docs"))
     return (
-        terms.select("model", "disease", "CUI", "tf")
-        .join(concepts, ["model", "CUI"])
+        terms.join(_concepts(variants, terms), ["model", "CUI"])
         .join(totals, "model")
         .select(
             "model", "disease", "CUI", "UMLS_name", (F.col("tf") * F.log(F.col("n_docs") / F.col("df"))).alias("tfidf")
@@ -92,14 +108,19 @@ def _rank_order(score: Column | None = None) -> list[Column]:
 
 
 def bm25_match(
-    queries: DataFrame, index: DataFrame, k: int = 10, prune: bool = True, seed_rows: int = 200
+    queries: DataFrame,
+    index: DataFrame,
+    k: int = 10,
+    prune_above: int | None = 50_000_000,
+    seed_rows: int = 200,
 ) -> DataFrame:
     """Top ``k`` diseases per (model, dataset, patient) by ``bm25_sum desc, shared_cui_count desc, disease``.
 
     ``queries``: dataset, patient_id, CUI (see :func:`query_concepts`); ``index``: a stored :func:`bm25_index`.
 
     A frequent concept sits in a large share of the diseases, so joining it pairs nearly every patient with nearly
-    every disease.  With ``prune`` the exact top k is found without that join:
+    every disease.  When the measured number of such pairs exceeds ``prune_above`` (None: never), the exact top k is
+    found without them:
 
     1. each query's terms are ordered by their largest weight; the strongest terms covering ``seed_rows`` index
        rows are scored, and the k-th best partial score is a lower bound for the final k-th score;
@@ -108,29 +129,30 @@ def bm25_match(
     3. candidates that cannot reach the bound even with all weak terms are dropped, the rest get the weak terms'
        weights by an equi join on (model, disease, CUI).
 
-    A query without a usable bound (fewer than k scored diseases) simply keeps all its terms in step 2, so results
-    never depend on the pruning.  The bound needs positive weights, which this idf gives for every df <= N.
+    A query without a usable bound (fewer than k scored diseases) keeps all its terms in step 2, so results never
+    depend on the pruning.  The bound needs positive weights, which this idf gives for every df <= N.
     """
     postings = index.select("model", "disease", "CUI", "bm25")
-    if not prune:
+    if prune_above is None:
         return _top_k(_sum_scores(queries.join(postings, "CUI")), k)
 
-    stats = index.groupBy("model", "CUI").agg(F.count("*").alias("rows"), F.max("bm25").alias("best"))
-    strongest = Window.partitionBy(*QUERY).orderBy(F.col("best").desc(), "CUI")
-    terms = (
-        queries.join(stats, "CUI")
-        .withColumn(
-            "rows_before",
-            F.coalesce(F.sum("rows").over(strongest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        )
-        .withColumn("tail", F.sum("best").over(strongest.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-    )
+    # only the postings of concepts that some query has matter; the query terms with their statistics are stored
+    postings = postings.join(queries.select("CUI").distinct(), "CUI", "left_semi")
+    stats = postings.groupBy("model", "CUI").agg(F.count("*").alias("rows"), F.max("bm25").alias("best"))
+    terms = checkpoint(queries.join(stats, "CUI"))
+    pairs = terms.agg(F.sum("rows")).first()[0] or 0
+    if pairs <= prune_above:
+        return _top_k(_sum_scores(terms.select(*QUERY, "CUI").join(postings, ["model", "CUI"])), k)
 
     # 1. lower bound from the strongest terms
-    seeds = terms.filter(F.col("rows_before") < seed_rows).select(*QUERY, "CUI")
-    partial = (
-        seeds.join(postings, ["model", "CUI"]).groupBy(*QUERY, "disease").agg(F.sum("bm25").alias("partial"))
+    strongest = Window.partitionBy(*QUERY).orderBy(F.col("best").desc(), "CUI")
+    before = strongest.rowsBetween(Window.unboundedPreceding, -1)
+    onwards = strongest.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    ordered = terms.withColumn("rows_before", F.coalesce(F.sum("rows").over(before), F.lit(0))).withColumn(
+        "tail", F.sum("best").over(onwards)
     )
+    seeds = ordered.filter(F.col("rows_before") < seed_rows).select(*QUERY, "CUI")
+    partial = seeds.join(postings, ["model", "CUI"]).groupBy(*QUERY, "disease").agg(F.sum("bm25").alias("partial"))
     kth = F.row_number().over(Window.partitionBy(*QUERY).orderBy(F.col("partial").desc(), "disease"))
     bound = (
         partial.withColumn("n", kth)
@@ -141,12 +163,12 @@ def bm25_match(
 
     # 2. strong terms find the candidates (the margin covers rounding)
     margin = 10.0 ** (1 - SCORE_DIGITS)
-    planned = terms.join(bound, QUERY, "left").withColumn(
-        "strong", F.col("bound").isNull() | (F.col("tail") >= F.col("bound") - margin)
-    )
+    is_strong = F.col("bound").isNull() | (F.col("tail") >= F.col("bound") - margin)
+    planned = checkpoint(ordered.join(bound, QUERY, "left").withColumn("strong", is_strong))
     strong = planned.filter("strong").select(*QUERY, "CUI", "bound")
-    weak = planned.filter(~F.col("strong")).select(*QUERY, "CUI", "best")
-    weak_sum = weak.groupBy(*QUERY).agg(F.sum("best").alias("weak_best"))
+    weak = planned.filter(~F.col("strong")).groupBy(*QUERY).agg(
+        F.sum("best").alias("weak_best"), F.collect_list("CUI").alias("weak_cuis")
+    )
     found = (
         strong.join(postings, ["model", "CUI"])
         .groupBy(*QUERY, "disease")
@@ -158,23 +180,19 @@ def bm25_match(
     )
 
     # 3. drop hopeless candidates, complete the others
-    kept = found.join(weak_sum, QUERY, "left").filter(
-        F.col("bound").isNull()
-        | (F.col("strong_score") + F.coalesce("weak_best", F.lit(0.0)) >= F.col("bound") - margin)
-    )
-    rest = (
-        kept.select(*QUERY, "disease")
-        .join(weak.select(*QUERY, "CUI"), QUERY)
-        .join(postings, ["model", "disease", "CUI"])
-        .select(*QUERY, "disease", F.col("bm25").alias("score"), F.lit(1).cast("long").alias("n"))
-    )
-    main = kept.select(*QUERY, "disease", F.col("strong_score").alias("score"), F.col("strong_count").alias("n"))
+    reachable = F.col("strong_score") + F.coalesce("weak_best", F.lit(0.0)) >= F.col("bound") - margin
+    kept = found.join(weak, QUERY, "left").filter(F.col("bound").isNull() | reachable)
     scored = (
-        main.unionByName(rest)
-        .groupBy(*QUERY, "disease")
-        .agg(F.sum("score").alias("score"), F.sum("n").alias("shared_cui_count"))
-        .withColumn("bm25_sum", F.round("score", SCORE_DIGITS))
-        .drop("score")
+        kept.select(*QUERY, "disease", "strong_score", "strong_count", F.explode_outer("weak_cuis").alias("CUI"))
+        .join(postings, ["model", "disease", "CUI"], "left")
+        .groupBy(*QUERY, "disease", "strong_score", "strong_count")
+        .agg(F.coalesce(F.sum("bm25"), F.lit(0.0)).alias("weak_score"), F.count("bm25").alias("weak_count"))
+        .select(
+            *QUERY,
+            "disease",
+            F.round(F.col("strong_score") + F.col("weak_score"), SCORE_DIGITS).alias("bm25_sum"),
+            (F.col("strong_count") + F.col("weak_count")).alias("shared_cui_count"),
+        )
     )
     return _top_k(scored, k)
 

@@ -30,18 +30,28 @@ def weekly_dedupe(notes: DataFrame, cohort: DataFrame | None = None) -> DataFram
 def weekly_grid(weekly: DataFrame) -> DataFrame:
     """Every (person, observed week, symptom of that person): code 1 present, 2 another symptom that week, 0 none.
 
-    Only weeks with some symptom are observed, so 0 does not occur here; a missing severity is 'unknown'.
+    Only weeks with some symptom are observed, so 0 does not occur here; a missing severity is 'unknown'.  A
+    person-week is one row with a map of its symptoms, joined once with the person's symptom set; both are bounded by
+    the number of different symptoms.
     """
-    weeks = weekly.select("person_id", "week_start").distinct()
-    symptoms = weekly.select("person_id", "umls_name").distinct()
-    present = weekly.select("person_id", "week_start", "umls_name", "severity", F.lit(1).alias("present"))
-    grid = weeks.join(symptoms, "person_id").join(present, ["person_id", "week_start", "umls_name"], "left")
+    per_week = weekly.groupBy("person_id", "week_start").agg(
+        F.map_from_entries(F.collect_list(F.struct("umls_name", "severity"))).alias("present")
+    )
+    per_person = (
+        per_week.select("person_id", F.explode(F.map_keys("present")).alias("umls_name"))
+        .groupBy("person_id")
+        .agg(F.collect_set("umls_name").alias("symptoms"))
+    )
+    grid = per_week.join(per_person, "person_id").select(
+        "person_id", "week_start", "present", F.explode("symptoms").alias("umls_name")
+    )
+    here = F.map_contains_key("present", F.col("umls_name"))
     return grid.select(
         "person_id",
         "umls_name",
         "week_start",
-        F.when(F.col("present") == 1, 1).otherwise(2).alias("code"),
-        F.coalesce("severity", F.lit(UNKNOWN)).alias("severity"),
+        F.when(here, 1).otherwise(2).alias("code"),
+        F.coalesce(F.element_at("present", F.col("umls_name")), F.lit(UNKNOWN)).alias("severity"),
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rankweave.functions.text import words
 from rankweave.operators.vocabulary import TARGET_TYPES
+from rankweave.sources.readers import spread
 
 MODELS = ("m0", "m1", "m2", "m3")
 LANGS = ("de", "en", "es", "fr")
@@ -22,13 +23,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, over all cores even when they come as one unsplittable file."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 # ---------------------------------------------------------------- text: documents and benchmark
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One mention per word of every document: knowledge source = language, disease = document."""
     ws = words(F.col("text"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", ws.alias("ws"))
+    docs = texts(spark, sf_dir).select("doc_id", "lang", ws.alias("ws"))
     # the word before comes from the shifted array, so no array travels with the exploded rows
     shifted = F.concat(F.array(F.lit("")), F.col("ws"))
     rows = docs.select("doc_id", "lang", F.posexplode(F.arrays_zip("ws", shifted.alias("before"))).alias("i", "w")).filter(
@@ -80,7 +86,7 @@ def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir).select(
         F.col("lang").alias("model"), F.col("doc_id").cast("string").alias("disease"), "text"
     )
 
@@ -101,7 +107,7 @@ def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.transform(
         F.split("text", "\n"), lambda line, i: F.when(i < 10, F.concat(head(i), F.lit("\n"), line)).otherwise(line)
     )
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir).select(
         F.col("lang").alias("model"), F.col("doc_id").cast("string").alias("disease"), F.array_join(lines, "\n").alias("summary")
     )
 

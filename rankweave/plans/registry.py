@@ -286,6 +286,12 @@ def bm25_match(spark, sf):
     return retrieval.bm25_match(retrieval.query_concepts(b.text_patients(spark, sf)), index)
 
 
+@query("R2", f"SELECT {Q}, disease, shared_cui_count, bm25_sum, rank FROM text_ranked")
+def bm25_match_pruned(spark, sf):
+    index = checkpoint(_text_index(spark, sf))
+    return retrieval.bm25_match(retrieval.query_concepts(b.text_patients(spark, sf)), index, prune_above=0)
+
+
 @query(
     "R2",
     f"""SELECT r.*, m.matched_cuis, m.matched_names FROM sparse r LEFT JOIN (
@@ -297,7 +303,7 @@ def bm25_match(spark, sf):
 def matched_concepts(spark, sf):
     index = checkpoint(retrieval.bm25_index(b.position_mentions(spark, sf)))
     queries = b.position_queries(spark, sf)
-    return retrieval.matched_concepts(retrieval.bm25_match(queries, index, k=5, prune=False), queries, index)
+    return retrieval.matched_concepts(retrieval.bm25_match(queries, index, k=5, prune_above=None), queries, index)
 
 
 def _dense(spark, sf):
@@ -306,7 +312,7 @@ def _dense(spark, sf):
 
 def _sparse(spark, sf):
     index = retrieval.bm25_index(b.position_mentions(spark, sf))
-    return retrieval.bm25_match(b.position_queries(spark, sf), index, k=5, prune=False)
+    return retrieval.bm25_match(b.position_queries(spark, sf), index, k=5, prune_above=None)
 
 
 def _fused(spark, sf):
@@ -734,23 +740,28 @@ def _weekly(spark, sf):
     return weekly.weekly_dedupe(b.notes(spark, sf), b.persons(spark, sf))
 
 
-def _before(spark, sf):
-    grid = weekly.label_before_after(weekly.weekly_grid(_weekly(spark, sf)), b.persons(spark, sf))
+def _weekly_stored(spark, sf):
+    """The weekly table as a stored product, for plans that read it several times."""
+    return checkpoint(_weekly(spark, sf))
+
+
+def _before(rows, spark, sf):
+    grid = weekly.label_before_after(weekly.weekly_grid(rows), b.persons(spark, sf))
     return grid.filter(F.col("before_after_dx") == "before")
 
 
-def _states(spark, sf):
-    pairs = weekly.supported_pairs(weekly.pair_cooccurrence(_weekly(spark, sf)))
-    return weekly.pair_states(_before(spark, sf), pairs)
+def _states(rows, spark, sf):
+    return weekly.pair_states(_before(rows, spark, sf), weekly.supported_pairs(weekly.pair_cooccurrence(rows)))
 
 
-def _importance(spark, sf):
-    rows = _weekly(spark, sf).join(b.persons(spark, sf), "person_id")
-    return weekly.log_ratio_importance(rows.filter(F.col("group") == "case"), rows.filter(F.col("group") == "control"))
+def _importance(rows, spark, sf):
+    grouped = rows.join(b.persons(spark, sf), "person_id")
+    is_case = F.col("group") == "case"
+    return weekly.log_ratio_importance(grouped.filter(is_case), grouped.filter(~is_case))
 
 
-def _weights(spark, sf):
-    return weekly.patient_weights(_weekly(spark, sf), _importance(spark, sf))
+def _weights(rows, spark, sf):
+    return weekly.patient_weights(rows, _importance(rows, spark, sf))
 
 
 @query("T1", "SELECT person_id, umls_name, week_start, severity FROM weekly")
@@ -796,7 +807,7 @@ def pair_cooccurrence_orders(spark, sf):
       AND g.umls_name <> s.symptom_1 AND g.umls_name <> s.symptom_2 GROUP BY ALL""",
 )
 def pair_states(spark, sf):
-    rows = _states(spark, sf)
+    rows = _states(_weekly_stored(spark, sf), spark, sf)
     for c in ("other_symptoms_in_next_week", "other_symptoms_with_severity"):
         rows = rows.withColumn(c, F.array_join(c, ","))
     return rows
@@ -820,7 +831,7 @@ def pair_states(spark, sf):
     WHERE next_state IS NOT NULL GROUP BY ALL""",
 )
 def pair_transitions_orders(spark, sf):
-    rows = weekly.weekly_dedupe(b.order_notes(spark, sf, "p_type"))
+    rows = checkpoint(weekly.weekly_dedupe(b.order_notes(spark, sf, "p_type")))
     states = weekly.pair_states(weekly.weekly_grid(rows), weekly.supported_pairs(weekly.pair_cooccurrence(rows)))
     return states.groupBy("symptom_1", "symptom_2", "joint_state", "next_state").agg(
         F.count("*").alias("n"), F.count_distinct("person_id").alias("n_persons")
@@ -829,12 +840,12 @@ def pair_transitions_orders(spark, sf):
 
 @query("T6", "SELECT * FROM importance_score")
 def log_ratio_importance(spark, sf):
-    return _importance(spark, sf)
+    return _importance(_weekly_stored(spark, sf), spark, sf)
 
 
 @query("T7", "SELECT * FROM weights")
 def patient_weights(spark, sf):
-    return _weights(spark, sf)
+    return _weights(_weekly_stored(spark, sf), spark, sf)
 
 
 @query(
@@ -857,7 +868,8 @@ def tfidf_importance(spark, sf):
     LEFT JOIN weights USING (person_id, umls_name) GROUP BY ALL""",
 )
 def patient_total_weight(spark, sf):
-    return weekly.patient_total_weight(_states(spark, sf), _weights(spark, sf))
+    rows = _weekly_stored(spark, sf)
+    return weekly.patient_total_weight(_states(rows, spark, sf), _weights(rows, spark, sf))
 
 
 FEATURES_SQL = """SELECT person_id, symptom_1, symptom_2, count(DISTINCT week_start) AS pair_week_distinct,
@@ -873,7 +885,8 @@ FEATURES_SQL = """SELECT person_id, symptom_1, symptom_2, count(DISTINCT week_st
 
 
 def _features(spark, sf):
-    return weekly.pair_features(_states(spark, sf), _weights(spark, sf), _before(spark, sf))
+    rows = _weekly_stored(spark, sf)
+    return weekly.pair_features(_states(rows, spark, sf), _weights(rows, spark, sf), _before(rows, spark, sf))
 
 
 @query("T9", FEATURES_SQL)
@@ -964,7 +977,7 @@ def demographics(spark, sf):
     WHERE joint_state = '1_1' GROUP BY ALL""",
 )
 def state_counts(spark, sf):
-    rows = _states(spark, sf).join(b.persons(spark, sf).select("person_id", "group"), "person_id")
+    rows = _states(_weekly_stored(spark, sf), spark, sf).join(b.persons(spark, sf).select("person_id", "group"), "person_id")
     return weekly.state_counts(rows, "joint_state", "1_1")
 
 

@@ -34,3 +34,13 @@ def with_path_keys(df: DataFrame, names: Sequence[str], depth: int = 1) -> DataF
         back = depth + len(names) - i
         out = out.withColumn(name, F.url_decode(F.get(parts, F.size(parts) - back)))
     return out
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition a table that arrives in fewer splits than there are cores; leave any other table alone.
+
+    For CPU-heavy text work on files that cannot be split (one row group).  A large table has more splits than
+    cores and is read where it lies.  The hash of a key makes the placement repeatable after a lost executor.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
