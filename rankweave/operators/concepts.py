@@ -17,7 +17,7 @@ from rankweave.operators.vocabulary import (
     TARGET_TYPES,
     TERMINOLOGIES,
 )
-from rankweave.session import checkpoint
+from rankweave.session import stage
 
 
 def concept_filter(
@@ -337,7 +337,7 @@ def assign_ids(rows: DataFrame, order: Sequence[str], name: str = "patient_id",
     """
     order = list(order)
     parts = buckets or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    staged = checkpoint(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    staged = stage(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
     sizes = staged.groupBy("_part").count()
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rankweave.functions.blocks import cell_top_k
 from rankweave.functions.text import split_trim
-from rankweave.session import checkpoint
+from rankweave.session import stage
 
 # Scores are rounded to this many digits before they are ranked, so that ties do not depend on summation order.
 SCORE_DIGITS = 6
@@ -22,7 +22,7 @@ def _variants(mentions: DataFrame) -> DataFrame:
     """
     keys = ["model", "disease", "CUI"]
     rows = mentions.dropna(subset=keys).groupBy(*keys, "UMLS_name", "semantic_type_name")
-    return checkpoint(rows.agg(F.count("*").alias("n")))
+    return stage(rows.agg(F.count("*").alias("n")))
 
 
 def _term_table(variants: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def bm25_match(
     # only the postings of concepts that some query has matter; the query terms with their statistics are stored
     postings = postings.join(queries.select("CUI").distinct(), "CUI", "left_semi")
     stats = postings.groupBy("model", "CUI").agg(F.count("*").alias("rows"), F.max("bm25").alias("best"))
-    terms = checkpoint(queries.join(stats, "CUI"))
+    terms = stage(queries.join(stats, "CUI"))
     pairs = terms.agg(F.sum("rows")).first()[0] or 0
     if pairs <= prune_above:
         return _top_k(_sum_scores(terms.select(*QUERY, "CUI").join(postings, ["model", "CUI"])), k)
@@ -164,7 +164,7 @@ def bm25_match(
     # 2. strong terms find the candidates (the margin covers rounding)
     margin = 10.0 ** (1 - SCORE_DIGITS)
     is_strong = F.col("bound").isNull() | (F.col("tail") >= F.col("bound") - margin)
-    planned = checkpoint(ordered.join(bound, QUERY, "left").withColumn("strong", is_strong))
+    planned = stage(ordered.join(bound, QUERY, "left").withColumn("strong", is_strong))
     strong = planned.filter("strong").select(*QUERY, "CUI", "bound")
     weak = planned.filter(~F.col("strong")).groupBy(*QUERY).agg(
         F.sum("best").alias("weak_best"), F.collect_list("CUI").alias("weak_cuis")

@@ -14,7 +14,7 @@ from rankweave.operators import cohort, concepts, evaluation, fusion, outcomes,
 from rankweave.operators.vocabulary import BLOCKED_NAMES, SYMPTOM_TYPES, TERMINOLOGIES
 from rankweave.plans import bindings as b
 from rankweave.plans.ctes import COHORT, N_TYPES, Q, TITLE_LIST, TYPE_LIST, quoted, sql
-from rankweave.session import checkpoint
+from rankweave.session import stage
 from rankweave.sources.schema import standardize
 from rankweave.streaming.incremental import new_rows
 
@@ -281,14 +281,14 @@ def bm25_index(spark, sf):
 
 @query("R2", f"SELECT {Q}, disease, shared_cui_count, bm25_sum, rank FROM text_ranked")
 def bm25_match(spark, sf):
-    # the index is a stored product; here it is written to the checkpoint folder once and read by every step
-    index = checkpoint(_text_index(spark, sf))
+    # the index is a stored product; here it is written once and read by every step
+    index = stage(_text_index(spark, sf))
     return retrieval.bm25_match(retrieval.query_concepts(b.text_patients(spark, sf)), index)
 
 
 @query("R2", f"SELECT {Q}, disease, shared_cui_count, bm25_sum, rank FROM text_ranked")
 def bm25_match_pruned(spark, sf):
-    index = checkpoint(_text_index(spark, sf))
+    index = stage(_text_index(spark, sf))
     return retrieval.bm25_match(retrieval.query_concepts(b.text_patients(spark, sf)), index, prune_above=0)
 
 
@@ -301,7 +301,7 @@ def bm25_match_pruned(spark, sf):
     JOIN pos_index i ON i.model = s.model AND i.disease = s.disease AND i.CUI = q.CUI GROUP BY ALL) m USING ({Q}, disease)""",
 )
 def matched_concepts(spark, sf):
-    index = checkpoint(retrieval.bm25_index(b.position_mentions(spark, sf)))
+    index = stage(retrieval.bm25_index(b.position_mentions(spark, sf)))
     queries = b.position_queries(spark, sf)
     return retrieval.matched_concepts(retrieval.bm25_match(queries, index, k=5, prune_above=None), queries, index)
 
@@ -533,8 +533,9 @@ def eval_summary(spark, sf):
 
 
 def _outcomes(spark, sf):
-    base = evaluation.truth_rank(_dense_truth(spark, sf), rank_col="rank")
-    new = evaluation.truth_rank(_fused_truth(spark, sf))
+    dense = stage(_dense(spark, sf))  # read by both rankings
+    base = evaluation.truth_rank(_with_truth(dense, spark, sf), rank_col="rank")
+    new = evaluation.truth_rank(_with_truth(fusion.rrf_fuse(dense, _sparse(spark, sf)), spark, sf))
     return outcomes.rank_transition(base, new)
 
 
@@ -742,7 +743,7 @@ def _weekly(spark, sf):
 
 def _weekly_stored(spark, sf):
     """The weekly table as a stored product, for plans that read it several times."""
-    return checkpoint(_weekly(spark, sf))
+    return stage(_weekly(spark, sf))
 
 
 def _before(rows, spark, sf):
@@ -831,7 +832,7 @@ def pair_states(spark, sf):
     WHERE next_state IS NOT NULL GROUP BY ALL""",
 )
 def pair_transitions_orders(spark, sf):
-    rows = checkpoint(weekly.weekly_dedupe(b.order_notes(spark, sf, "p_type")))
+    rows = stage(weekly.weekly_dedupe(b.order_notes(spark, sf, "p_type")))
     states = weekly.pair_states(weekly.weekly_grid(rows), weekly.supported_pairs(weekly.pair_cooccurrence(rows)))
     return states.groupBy("symptom_1", "symptom_2", "joint_state", "next_state").agg(
         F.count("*").alias("n"), F.count_distinct("person_id").alias("n_persons")

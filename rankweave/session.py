@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,15 +24,26 @@ def build_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "ran
     )
 
 
-def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
+def staging_dir(spark: SparkSession) -> str:
+    """Folder for stored intermediate tables: the shared one the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir`` (shared storage, so the data
-    survives lost executors).  Only where that setting is absent, as in a local test, is a folder of our own used.
+    Only where that setting is absent, as in a local test, is a folder of our own made and remembered.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="rankweave-checkpoint-"))
-    return df.checkpoint(eager)
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named:
+        named = "file://" + tempfile.mkdtemp(prefix="rankweave-")
+        sc.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write an intermediate result once and go on from the stored table.
+
+    Cuts the lineage like a reliable checkpoint and survives lost executors, but is columnar: later steps read only
+    the columns they need, and Spark plans their joins with the real size.
+    """
+    spark = df.sparkSession
+    path = f"{staging_dir(spark)}/rankweave/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
