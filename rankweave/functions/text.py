@@ -53,10 +53,16 @@ def is_negated(name: Column, negations: Sequence[str] = NEGATIONS) -> Column:
     return hit
 
 
+# --- fixed values: patterns of bold spans, heading marks, links and bare URLs ---
+BOLD = r"\*\*.*?\*\*"
+HASHES = "#+"
+MARKDOWN_LINK = r"\[([^\]]+)\]\(https?://[^)]+\)"
+BARE_URL = r"https?://\S+"
+
+
 def clean_markdown(c: Column) -> Column:
     """Drop bold spans together with their text, and heading marks; trim."""
-    no_bold = F.regexp_replace(c, r"\*\*.*?\*\*", "")
-    return F.trim(F.regexp_replace(no_bold, "#+", ""))
+    return F.trim(F.regexp_replace(F.regexp_replace(c, BOLD, ""), HASHES, ""))
 
 
 # A parenthesis that holds only host names.
@@ -66,8 +72,7 @@ HOST_LIST = rf"\(\s*{_HOST}(?:[,\s]\s*{_HOST})*,?\s*\)"
 
 def remove_links(c: Column) -> Column:
     """Markdown link to its label, then bare URLs and parenthesised host lists removed."""
-    labels = F.regexp_replace(c, r"\[([^\]]+)\]\(https?://[^)]+\)", "$1")
-    bare = F.regexp_replace(labels, r"https?://\S+", "")
+    bare = F.regexp_replace(F.regexp_replace(c, MARKDOWN_LINK, "$1"), BARE_URL, "")
     return F.regexp_replace(bare, HOST_LIST, "")
 
 

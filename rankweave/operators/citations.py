@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rankweave.functions.text import domain
 from rankweave.operators.vocabulary import SITE_CATEGORIES
 
+# --- fixed values: patterns of a markdown link and of a title / type / url triple in JSON text ---
 LINK = r"\[([^\]]+)\]\((https?://[^\s)]+)"
 TRIPLE = r'"title"\s*:\s*"([^"]+)"[^}]*?"type"\s*:\s*"([^"]+)"[^}]*?"url"\s*:\s*"([^"]+)"'
 _CHUNKS = (

@@ -305,18 +305,18 @@ def chunk_texts(docs: DataFrame, chunks: DataFrame, keys: Sequence[str], text_co
 def label_types(rows: DataFrame, type_map: DataFrame, sep: str = "| ") -> DataFrame:
     """Semantic type ids to names: an unknown id stays as it is; order kept; joined by ``sep``.
 
-    ``rows`` holds ``semantic_type`` array<string>; ``type_map`` TUI, Type_name.  The map (a few hundred types) is
-    one aggregated row, read by a scalar subquery.
+    ``rows`` holds ``semantic_type`` array<string>; ``type_map`` TUI, Type_name (one name per id).  Names are looked
+    up once per distinct id list, which is far fewer than the rows, and joined back by the list.
     """
-    lookup = type_map.select(
-        F.map_from_entries(F.collect_list(F.struct("TUI", "Type_name"))).alias("m")
-    ).scalar()
-    named = F.transform("semantic_type", lambda t: F.coalesce(F.element_at(F.col("_types"), t), t))
-    return (
-        rows.withColumn("_types", lookup)
-        .withColumn("semantic_type_name", F.array_join(named, sep))
-        .drop("_types")
+    lists = rows.select("semantic_type").distinct()
+    ids = lists.select("semantic_type", F.posexplode("semantic_type").alias("pos", "TUI"))
+    named = (
+        ids.join(type_map.select("TUI", "Type_name"), "TUI", "left")
+        .groupBy("semantic_type")
+        .agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("Type_name", "TUI").alias("name")))).alias("parts"))
+        .select("semantic_type", F.array_join(F.col("parts.name"), sep).alias("semantic_type_name"))
     )
+    return rows.join(named, "semantic_type", "left").select(*rows.columns, "semantic_type_name")
 
 
 def disease_universe(
@@ -331,8 +331,8 @@ def disease_universe(
 def assign_ids(rows: DataFrame, order: Sequence[str], name: str = "patient_id", buckets: int | None = None) -> DataFrame:
     """Sequential number 1..n over an ordering, without ever sorting everything in one task.
 
-    Rows are range-partitioned once and written to the checkpoint folder with their partition number, which makes
-    that number a stored value.  Numbers inside a partition are then offset by the sizes of the partitions before
+    Rows are range-partitioned once and stored with their partition number, so that number cannot change when a task
+    runs again.  Numbers inside a partition are then offset by the sizes of the partitions before
     it; that table has one row per partition.  ``order`` must be a total order (add a key column to break ties).
     """
     order = list(order)

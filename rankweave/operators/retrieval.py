@@ -253,7 +253,9 @@ def dense_rank(
     right = candidates.filter(F.col("vector").isNotNull()).select(
         "model", F.col("disease").alias("candidate"), "vector"
     )
-    scored = cell_top_k(left, right, QUERY, ["model"], k, query_bucket, candidate_bucket)
+    # without k a cell returns all its pairs, so it takes fewer queries
+    size = query_bucket if k is not None else min(query_bucket, 256)
+    scored = cell_top_k(left, right, QUERY, ["model"], k, size, candidate_bucket)
     if min_score is not None:
         scored = scored.filter(F.col("score") > min_score)
     window = Window.partitionBy(*QUERY).orderBy(F.col("score").desc(), "candidate")
