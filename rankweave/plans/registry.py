@@ -14,7 +14,8 @@ from rankweave.operators import cohort, concepts, evaluation, fusion, outcomes,
 from rankweave.operators.vocabulary import BLOCKED_NAMES, SYMPTOM_TYPES, TERMINOLOGIES
 from rankweave.plans import bindings as b
 from rankweave.plans.ctes import COHORT, N_TYPES, Q, TITLE_LIST, TYPE_LIST, quoted, sql
-from rankweave.session import stage
+from rankweave.session import stage, staging_dir
+from rankweave.sources import tables
 from rankweave.sources.schema import standardize
 from rankweave.streaming.incremental import new_rows
 
@@ -1235,6 +1236,13 @@ def standardize_columns(spark, sf):
     return standardize(raw, aliases, ["patient_id", "dataset", "score"], {"score": "double"}, ["patient_id", "dataset"], ["score"])
 
 
+@query("X2", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders")
+def save_and_load(spark, sf):
+    rows = b.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    tables.save(rows, "rankweave_orders", ["o_orderstatus"], path=f"{staging_dir(spark)}/rankweave/tables/orders")
+    return tables.load(spark, "rankweave_orders")
+
+
 @query(
     "X3",
     """SELECT lang AS model, source AS dataset, count(*) AS n_items, count(*) FILTER (WHERE n_chars >= 60 AND n_lines > 1) AS n_saved,

@@ -7,14 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 
-def save(df: DataFrame, name: str, keys: Sequence[str] = (), fmt: str = "parquet") -> DataFrame:
+def save(
+    df: DataFrame, name: str, keys: Sequence[str] = (), fmt: str = "parquet", path: str | None = None
+) -> DataFrame:
     """Overwrite a table (schema included), partitioned by ``keys``; returns the stored table.
 
+    The files lie in the warehouse, or at ``path`` when given.
+
     Rows are clustered by the keys before the write when there are keys, without a fixed number of partitions: the
     adaptive rebalance splits a key that holds a large share of the rows and merges small ones.
     """
     rows = df.hint("rebalance", *keys) if keys else df
     writer = rows.write.format(fmt).mode("overwrite").option("overwriteSchema", "true")
+    writer = writer.option("path", path) if path else writer
     (writer.partitionBy(*keys) if keys else writer).saveAsTable(name)
     return df.sparkSession.table(name)
 
