@@ -18,11 +18,14 @@ SCORE_DIGITS = 6
 def _variants(mentions: DataFrame) -> DataFrame:
     """Mentions counted per (model, disease, CUI, name, type), combined map-side and written once.
 
-    This is the only pass over the mentions: everything below reads the compact stored table.
+    This is the only pass over the mentions: everything below reads the compact stored table.  The null filter is
+    repeated on the stored table because joins would otherwise add parts of it to single branches; with one and the
+    same filter the branches are equal and Spark reuses the term table's shuffle.
     """
     keys = ["model", "disease", "CUI"]
-    rows = mentions.dropna(subset=keys).groupBy(*keys, "UMLS_name", "semantic_type_name")
-    return stage(rows.agg(F.count("*").alias("n")))
+    known = F.col("model").isNotNull() & F.col("disease").isNotNull() & F.col("CUI").isNotNull()
+    rows = mentions.filter(known).groupBy(*keys, "UMLS_name", "semantic_type_name")
+    return stage(rows.agg(F.count("*").alias("n"))).filter(known)
 
 
 def _term_table(variants: DataFrame) -> DataFrame:
@@ -36,7 +39,7 @@ def _lengths(terms: DataFrame) -> DataFrame:
 
 def _concepts(variants: DataFrame, terms: DataFrame) -> DataFrame:
     """df, and one display name and type (the smallest), per (model, CUI)."""
-    df = terms.groupBy("model", "CUI").agg(F.count("*").alias("df"))
+    df = terms.groupBy("model", "CUI").agg(F.count("tf").alias("df"))  # reads tf, like the other branches
     # the few spellings of a concept as a set: string minima would sort all rows
     names = variants.groupBy("model", "CUI").agg(
         F.array_min(F.collect_set("UMLS_name")).alias("UMLS_name"),
