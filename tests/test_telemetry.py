@@ -64,16 +64,16 @@ def test_query_counts_with_missing_diseases(spark):
 
 
 def test_flatten_responses(spark):
-    claude = {"id": "1", "content": [{"type": "text", "text": "a"}, {"type": "text", "text": "hidden", "encrypted_content": "z"},
+    block_answer = {"id": "1", "content": [{"type": "text", "text": "a"}, {"type": "text", "text": "hidden", "encrypted_content": "z"},
               {"type": "web_search_tool_result", "content": [{"title": "t", "url": "u", "encrypted_content": "z"}, {"title": "k", "url": "v"}]}, {"type": "text", "text": "b"}]}
-    openai = {"id": "2", "output": [{"type": "reasoning"}, {"type": "message", "content": [{"type": "output_text", "text": "first"}, {"type": "output_text", "text": "second"}]}]}
-    deepseek = {"id": "3", "choices": [{"message": {"content": "choice"}}]}
-    gemini = {"id": "4", "candidates": [{"content": {"parts": [{"text": "part"}, {"text": "later"}]}}]}
-    rows = [("m", str(i), json.dumps(d)) for i, d in enumerate((claude, openai, deepseek, gemini))] + [("m", "bad", "nope"), ("m", "null", None)]
+    event_answer = {"id": "2", "output": [{"type": "reasoning"}, {"type": "message", "content": [{"type": "output_text", "text": "first"}, {"type": "output_text", "text": "second"}]}]}
+    choice_answer = {"id": "3", "choices": [{"message": {"content": "choice"}}]}
+    part_answer = {"id": "4", "candidates": [{"content": {"parts": [{"text": "part"}, {"text": "later"}]}}]}
+    rows = [("m", str(i), json.dumps(d)) for i, d in enumerate((block_answer, event_answer, choice_answer, part_answer))] + [("m", "bad", "nope"), ("m", "null", None)]
     out = {r["disease_name"]: r for r in t.flatten_responses(spark.createDataFrame(rows, "model string, disease_name string, response string"), ["id", "content", "choices"]).collect()}
     assert [out[str(i)]["disease_text"] for i in range(4)] == ["a\nb", "first", "choice", "part"]
     assert out["0"]["id"] == "1" and "encrypted" not in out["0"]["content"] and '"title":"k"' in out["0"]["content"] and '"title":"t"' not in out["0"]["content"]
-    assert json.loads(out["2"]["choices"]) == deepseek["choices"]
+    assert json.loads(out["2"]["choices"]) == choice_answer["choices"]
     assert out["bad"]["disease_text"] is None and out["null"]["id"] is None
 
 
