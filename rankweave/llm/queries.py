@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import byte_bpe, packing, token_store, url_filter
+from rankweave.llm import byte_bpe, line_dedup, packing, quality, secret_scan, token_store, url_filter
 from rankweave.llm.common import Scratch, table
 
 END_ID = 2
@@ -19,6 +19,28 @@ def _words() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    stats = Scratch(spark, "quality").store(docs.select("doc_id", quality.statistics_column(F.col("text")).alias("stats")))
+    return quality.score(stats, quality.train(stats, table(spark, sf_dir, "labels")))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    count = lambda rank: F.size(F.filter("strong", lambda s: s["rank"] == rank)).cast("long")
+    return found.select(
+        "doc_id", *[count(i).alias(f"n_{kind}") for i, kind in enumerate(secret_scan.STRONG)],
+        F.sha2(secret_scan.listing(F.col("strong")), 256).alias("base_sha256"), secret_scan.listing(F.col("spans")).alias("spans"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
+    return kept.select(
+        "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listed are the canonical URLs of the pages on hosts that call themselves spam."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -50,6 +72,9 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality": op2_quality,
+    "op3_secret_scan": op3_secret_scan,
+    "op4_line_dedup": op4_line_dedup,
     "op5_url_filters": op5_url_filters,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_packing": op7_packing,
@@ -57,7 +82,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _HOST = f"translate(regexp_extract(rest, '^[^/?#]*'), '{url_filter.UPPER}', '{url_filter.LOWER}')"
+_STRIP = " || ".join(f"chr({c})" for c in (32, 9, 10, 11, 12, 13))
 SQL: dict[str, str] = {
+    "op4_line_dedup": f"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM documents),
+keyed AS (SELECT *, translate(trim(line, {_STRIP}), '{url_filter.UPPER}', '{url_filter.LOWER}') AS key FROM lines),
+shared AS (SELECT key, min(doc_id) AS holder FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+judged AS (SELECT doc_id, pos, line, holder IS NOT NULL AND holder <> doc_id AS gone FROM keyed LEFT JOIN shared USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id""",
     "op5_url_filters": f"""
 WITH rests AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
