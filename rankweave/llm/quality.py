@@ -101,6 +101,18 @@ def pool_adjacent(y: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.repeat(values, counts)
 
 
+def _inverse(a: np.ndarray) -> np.ndarray:
+    """Inverse of a positive definite matrix by elimination; no threaded library call in the driver."""
+    n = len(a)
+    both = np.hstack([a, np.eye(n)])
+    for k in range(n):
+        both[k] /= both[k, k]
+        column = both[:, k].copy()
+        column[k] = 0
+        both -= column[:, None] * both[k]
+    return both[:, n:]
+
+
 def _stack(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()) if len(column) else np.zeros((0, STATISTICS))
 
@@ -138,8 +150,8 @@ def fit(rows: DataFrame, features: int = FEATURES, ridge: float = RIDGE, bins: i
     kind = "i int, sums array<double>"
     parts = rows.mapInPandas(summed, kind).groupBy("i").applyInPandas(joined, kind)
     table = np.stack([r["sums"] for r in sorted(parts.collect(), key=lambda r: r["i"])])  # features x (features + 1)
-    inverse = np.linalg.inv(table[:, :size] + ridge * n * np.eye(size))
-    weights = inverse @ table[:, size]
+    inverse = _inverse(table[:, :size] + ridge * n * np.eye(size))
+    weights = (inverse * table[:, size]).sum(axis=1)
 
     def left_out(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
