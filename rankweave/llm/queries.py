@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import byte_bpe, line_dedup, packing, quality, secret_scan, token_store, url_filter
+from rankweave.llm import byte_bpe, dart_minhash, hamming_index, line_dedup, metric_join, packing, quality, secret_scan, token_store, url_filter
 from rankweave.llm.common import Scratch, table
 
 END_ID = 2
@@ -19,6 +19,10 @@ def _words() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     stats = Scratch(spark, "quality").store(docs.select("doc_id", quality.statistics_column(F.col("text")).alias("stats")))
@@ -71,7 +75,17 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return hamming_index.nearest(vectors, F.col("vec_id") % 100 == 0)
+
+
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_links": op1_embedding_links,
     "op2_quality": op2_quality,
     "op3_secret_scan": op3_secret_scan,
     "op4_line_dedup": op4_line_dedup,
@@ -79,11 +93,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_byte_bpe": op6_byte_bpe,
     "op7_packing": op7_packing,
     "op8_token_store": op8_token_store,
+    "op9_nearest": op9_nearest,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 _HOST = f"translate(regexp_extract(rest, '^[^/?#]*'), '{url_filter.UPPER}', '{url_filter.LOWER}')"
 _STRIP = " || ".join(f"chr({c})" for c in (32, 9, 10, 11, 12, 13))
 SQL: dict[str, str] = {
+    "op1_embedding_links": """
+WITH RECURSIVE able AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM able a JOIN able b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+lowest AS (SELECT a, min(b) AS low FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id,
+  vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
+FROM embeddings e LEFT JOIN counted c ON e.vec_id = c.a LEFT JOIN lowest w ON e.vec_id = w.a""",
     "op4_line_dedup": f"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
