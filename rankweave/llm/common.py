@@ -20,6 +20,18 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, _rh, _text): the row with all its columns in one struct, so that none clashes with a working column."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.struct("*").alias("row"), "doc_id", row_hash(text).alias("_rh"), text.alias("_text"))
+
+
+def with_text(row: Column, text: Column, columns: list[str]) -> Column:
+    """The row with another text, and its n_chars where it has one."""
+    row = row.withField("text", text)
+    return row.withField("n_chars", F.length(text).cast("long")) if "n_chars" in columns else row
+
+
 def row_hash(text: Column) -> Column:
     """With the id it names a row by content: rows equal in both are the same document and get the same result."""
     return F.xxhash64(text)

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.llm.common import Scratch, block_pairs, id_and_text, mix64, row_hash, same_row
+from rankweave.llm.common import Scratch, block_pairs, id_and_text, mix64, row_hash, same_row, whole_rows
 from rankweave.llm.components import components
 
 SHINGLE = 5
@@ -293,6 +293,6 @@ def near_duplicates(
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
     """docs without the near duplicates: the row of each class's smallest doc_id stays, with all its columns."""
     kept = near_duplicates(docs, **settings).filter("kept").select("doc_id", "_rh")
-    keyed = docs.withColumn("_rh", row_hash(F.coalesce("text", F.lit(""))))
-    first = keyed.join(kept, same_row(keyed, kept), "left_semi")
-    return first.dropDuplicates(["doc_id", "_rh"]).select(*docs.columns)
+    keyed = whole_rows(docs)
+    joined = keyed.join(kept, same_row(keyed, kept), "left_semi")
+    return joined.dropDuplicates(["doc_id", "_rh"]).select("row.*")

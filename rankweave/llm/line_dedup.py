@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
-from rankweave.llm.common import Scratch, id_and_text, row_hash, same_row
+from rankweave.llm.common import Scratch, id_and_text, row_hash, same_row, whole_rows, with_text
 
 STRIPPED = b" \t\n\v\f\r"
 SHORTEST = 10
@@ -162,10 +162,15 @@ def kept_text(text: Column, bitmap: Column) -> Column:
     return run(text, bitmap)
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs with the kept lines as ``text``, and ``_n_lines``, ``_n_dropped``; all rows and columns stay."""
-    keyed = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("_rh", row_hash(F.col("text")))
-    joined = keyed.join(bitmaps, same_row(keyed, bitmaps)).select(
-        *[keyed[c] for c in docs.columns], F.col("n_lines").alias("_n_lines"), F.col("n_dropped").alias("_n_dropped"), "bitmap")
-    text = F.when(F.col("_n_dropped") == 0, F.col("text")).otherwise(kept_text(F.col("text"), F.col("bitmap")))
-    return joined.withColumn("text", text).drop("bitmap")
+def kept_documents(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """(row, text, n_lines, n_dropped): each row of docs with its kept lines."""
+    keyed = whole_rows(docs)
+    joined = keyed.join(bitmaps, same_row(keyed, bitmaps)).select("row", "_text", "n_lines", "n_dropped", "bitmap")
+    text = F.when(F.col("n_dropped") == 0, F.col("_text")).otherwise(kept_text(F.col("_text"), F.col("bitmap")))
+    return joined.select("row", text.alias("text"), "n_lines", "n_dropped")
+
+
+def drop_lines(docs: DataFrame, **settings) -> DataFrame:
+    """docs with the kept lines as ``text`` (and their length as ``n_chars``, if there is one); all rows and columns stay."""
+    kept = kept_documents(docs, keep_bitmaps(docs, **settings))
+    return kept.select(with_text(F.col("row"), F.col("text"), docs.columns).alias("row")).select("row.*")

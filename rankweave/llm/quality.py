@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankweave.llm.common import Scratch
+
 STATISTICS = 20
 FEATURES = 256
 RIDGE = 1e-3  # times the number of rows
@@ -196,3 +198,10 @@ def score(stats: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -
     return stats.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), score_column(F.col("stats"), model).alias("score")
     ).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that are not rejected, with all their columns."""
+    stats = statistics_column(F.col("text"))
+    known = Scratch(docs.sparkSession, "quality").store(docs.select("doc_id", stats.alias("stats")))
+    return docs.filter(score_column(stats, train(known, labels)) >= threshold)

@@ -39,10 +39,8 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    kept = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
-    return kept.select(
-        "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"),
-        F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    kept = line_dedup.kept_documents(docs, line_dedup.keep_bitmaps(docs))
+    return kept.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from rankweave.llm.common import Scratch, id_and_text, row_hash, same_row
+from rankweave.llm.common import Scratch, id_and_text, row_hash, same_row, whole_rows, with_text
 
 SCOPE = 200  # code points between two parts of one credential
 
@@ -135,9 +135,10 @@ def masked(text: Column, spans: Column) -> Column:
 
 
 def mask_documents(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """docs with the reported spans masked in ``text``; all rows and columns stay."""
+    """docs with the reported spans masked in ``text`` (and ``n_chars`` counted again); all rows and columns stay."""
     found = scan(docs, scope).filter(F.size("spans") > 0).groupBy("doc_id", "_rh").agg(F.first("spans").alias("_spans"))
-    keyed = docs.withColumn("_rh", row_hash(F.coalesce("text", F.lit(""))))
-    joined = keyed.join(found, same_row(keyed, found), "left").select(*[keyed[c] for c in docs.columns], "_spans")
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(
-        masked(F.coalesce("text", F.lit("")), F.coalesce("_spans", F.array().cast(SPAN))))).drop("_spans")
+    keyed = whole_rows(docs)
+    joined = keyed.join(found, same_row(keyed, found), "left").select("row", "_text", "_spans")
+    text = masked(F.col("_text"), F.coalesce("_spans", F.array().cast(SPAN)))
+    row = F.when(F.col("_spans").isNull(), F.col("row")).otherwise(with_text(F.col("row"), text, docs.columns))
+    return joined.select(row.alias("row")).select("row.*")

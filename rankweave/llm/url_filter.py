@@ -66,10 +66,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, url_col: s
     ``://``, empty tables and null rules or keys are fine: they fit nothing, and an unfitted url is allowed.
     """
     host, path = url_parts(F.col(url_col))
-    pages = pages.drop("rule", "verdict").withColumns({"_host": host, "_path": path})
+    names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    rows = pages.select(F.struct(*[pages[f"`{c}`"] for c in names]).alias("row"), host.alias("_host"), path.alias("_path"))
     rules = rules.select("action", "host", "path").dropna().distinct()
     lengths = rules.agg(F.collect_set(F.length("path"))).scalar()  # at most as many as a path has characters
-    pairs = pages.select("_host", "_path").distinct().withColumn("_lengths", lengths)
+    pairs = rows.select("_host", "_path").distinct().withColumn("_lengths", lengths)
     labels = F.split("_host", r"\.")
     suffixes = F.transform(
         F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), ".")
@@ -93,8 +94,6 @@ def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, url_col: s
         asked.join(found, "key").groupBy("_host", "_path")
         .agg(F.max(F.struct("_len", "_host_len", "action", "_rule")).alias("_best"))
     )
-    return (
-        pages.join(best, ["_host", "_path"], "left").drop("host", "path")
-        .withColumns({"rule": F.col("_best._rule"), "verdict": F.coalesce("_best.action", F.lit("allow"))})
-        .withColumnsRenamed({"_host": "host", "_path": "path"}).drop("_best")
-    )
+    return rows.join(best, ["_host", "_path"], "left").select(
+        "row.*", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_best._rule").alias("rule"),
+        F.coalesce("_best.action", F.lit("allow")).alias("verdict"))
