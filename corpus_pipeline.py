@@ -1,10 +1,61 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences.
+
+Each stage reads what its predecessor wrote, works on all of it, and returns documents with all their columns; the last
+one returns the pieces of the packed sequences.
+"""
 
 from __future__ import annotations
 
-ORACLE_SQL = None
-STAGES = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rankweave.llm import dart_minhash, line_dedup, packing, quality, secret_scan
+from rankweave.llm.common import Scratch
+
+ORACLE_SQL = None  # classifier, signatures and tokenizer have no SQL; tests/llm compares each stage with a plain version
+END_ID = 2
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, trained on the labels, does not reject."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier document holds go; a document that loses them all stays with an empty text."""
+    return line_dedup.drop_lines(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each class of near duplicates stays."""
+    return dart_minhash.keep_one(docs)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Credentials become a placeholder."""
+    return secret_scan.mask_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 4096 ids: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("line dedup", drop_shared_lines),
+    ("near duplicates", drop_near_duplicates),
+    ("secret scan", mask_secrets),
+    ("packing", pack_sequences),
+]
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages applied to ``documents``; each result is written as Parquet and read again."""
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = scratch.store(stage(spark, docs, sf_dir))
+    return docs
