@@ -176,7 +176,8 @@ def read_token_store(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             arrow = batch.schema.field("doc_ids").type.value_type
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):  # one shard at a time
+                row = batch.slice(k, 1).to_pylist()[0]
                 ids, lengths = unpack_ids(row["payload"]), row["doc_lengths"]
                 ends = np.cumsum(lengths)
                 starts = ends - lengths

@@ -14,7 +14,7 @@ import unicodedata
 
 import numpy as np
 
-CACHED_WORDS = 300_000  # in each of two generations, together about 120 MB a Python worker
+CACHED_WORDS = 150_000  # in each of two generations, together about 60 MB a Python worker
 LONGEST_CACHED = 64
 
 # The normaliser and the split that the plain way stands for.
@@ -53,11 +53,11 @@ class _Words(dict):
         self.old: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        spec = json.loads(self.tokenizer.to_str())
-        split = [s.get("pattern", {}).get("Regex") for s in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if s["type"] == "Split"]
-        kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        part = lambda p: json.loads(p.__getstate__()) if p is not None else {}
+        split = [s.get("pattern", {}).get("Regex") for s in part(self.tokenizer.pre_tokenizer).get("pretokenizers", []) if s["type"] == "Split"]
+        kinds = [n["type"] for n in part(self.tokenizer.normalizer).get("normalizers", [])]
         self.known_form = split == [SPLIT] and kinds == NORMALIZERS
-        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.stand_in = dict(enumerate(_byte_letters()))
 
     def plain(self, text: str) -> bool:
