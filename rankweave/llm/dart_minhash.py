@@ -30,7 +30,7 @@ BANDS, ROWS = 40, 6  # a pair at 0.8 misses all bands with probability (1 - 0.8*
 SLACK = 5  # standard deviations that a signature may fall below the threshold before the exact check
 BLOCK = 1024
 CACHED_WORDS = 500_000
-DARTS_AT_ONCE = 200_000  # shingles of a group of texts that throw together
+DARTS_AT_ONCE = 250_000  # shingles and darts of a group of texts that throw together
 
 _WORD = re.compile(r"\w+")
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -129,11 +129,14 @@ def _sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
         StructField("bands", ArrayType(LongType())), StructField("sketch", BinaryType()),
     ])
     k = bands * rows
+    darts = int((np.log(k) + 3) * k)  # of one text, on average
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         for frame in frames:
+            # Texts of about one length throw together: the shortest needs the most arrivals per shingle.
+            frame = frame.iloc[frame["text"].str.len().argsort(kind="stable")]
             at = 0
             while at < len(frame):
                 sets, prints, load = [], [], 0
@@ -141,7 +144,7 @@ def _sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                     words = words_of(frame["text"].iat[at + len(sets)])
                     prints.append(xxhash.xxh3_128_digest(" ".join(words)))
                     sets.append(weighted_shingles(words, size))
-                    load += len(words)
+                    load += len(words) + darts
                 full = [i for i, s in enumerate(sets) if len(s[0])]
                 keys: list = [[]] * len(sets)
                 sketch = [b""] * len(sets)
@@ -204,11 +207,15 @@ def _crossing(rows: DataFrame, least: float) -> DataFrame:
         if len(left) and len(right):
             x, y = (np.frombuffer(b"".join(f["sketch"]), np.uint8).reshape(len(f), -1) for f in (left, right))
             cx, cy, nx, ny = left["component"].to_numpy(), right["component"].to_numpy(), left["node"].to_numpy(), right["node"].to_numpy()
+            k = x.shape[1]
+            head = max(1, k // 4)
+            first = np.ascontiguousarray(y[:, :head])
+            floor = least - SLACK * np.sqrt(least * (1 - least) / head)  # a quarter of the coordinates sifts first
             for i in range(len(x)):
-                near = (cy != cx[i]) & ((ny > nx[i]) | (side[0] >= 0))
-                near = np.nonzero(near)[0]
+                near = np.nonzero((cy != cx[i]) & ((ny > nx[i]) | (side[0] >= 0)))[0]
                 if len(near):
-                    near = near[(y[near] == x[i]).mean(axis=1) >= least]
+                    near = near[(first[near] == x[i, :head]).sum(axis=1, dtype=np.int32) >= floor * head]
+                    near = near[(y[near] == x[i]).sum(axis=1, dtype=np.int32) >= least * k]
                     out += [(nx[i], n) for n in ny[near]]
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
