@@ -26,7 +26,7 @@ def cell_top_k(
     candidates: DataFrame,
     query_key: list[str],
     group: list[str],
-    k: int | None,
+    k: int,
     query_bucket: int = 4096,
     candidate_bucket: int = 2048,
 ) -> DataFrame:
@@ -59,8 +59,7 @@ def cell_top_k(
             return pd.DataFrame({c: [] for c in query_key + ["candidate", "score"]})
         right = right.sort_values("candidate", kind="stable")
         scores = np.round(_matrix(left["vector"]) @ _matrix(right["vector"]).T, 4) + 0.0
-        order = np.argsort(-scores, axis=1, kind="stable")
-        order = order if k is None else order[:, :k]
+        order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
         rows = np.repeat(np.arange(len(left)), order.shape[1])
         result = left[query_key].iloc[rows].reset_index(drop=True)
         result["candidate"] = right["candidate"].to_numpy()[order.ravel()]

@@ -91,7 +91,7 @@ def person_table(pairs: DataFrame) -> DataFrame:
                 ),
                 F.struct(
                     F.lit("control").alias("group"), F.col("control_id").alias("person_id"),
-                    F.col("non_IPF_control_dx_date").alias("dx_date"),
+                    F.col("control_dx_date").alias("dx_date"),
                     "gender", "race", F.col("control_onset_age").alias("onset_age"),
                 ),
             )

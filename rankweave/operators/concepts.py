@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +18,6 @@ from rankweave.operators.vocabulary import (
     TARGET_TYPES,
     TERMINOLOGIES,
 )
-from rankweave.session import stage
 
 
 def concept_filter(
@@ -331,22 +331,26 @@ def disease_universe(
 def assign_ids(rows: DataFrame, order: Sequence[str], name: str = "patient_id", buckets: int | None = None) -> DataFrame:
     """Sequential number 1..n over an ordering, without ever sorting everything in one task.
 
-    Rows are range-partitioned once and stored with their partition number, so that number cannot change when a task
-    runs again.  Numbers inside a partition are then offset by the sizes of the partitions before
-    it; that table has one row per partition.  ``order`` must be a total order (add a key column to break ties).
+    Rows are range-partitioned and sorted once; a row's number inside its partition is offset by the sizes of the
+    partitions before it, a table of one row per partition.  Both read the same sorted table, and its order is total
+    (``order`` must be; add a key column to break ties), so a partition that is computed again has the same numbers.
     """
     order = list(order)
     parts = buckets or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    staged = stage(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
-    sizes = staged.groupBy("_part").count()
+    # partition number and position, in one column
+    ranged = (
+        rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+        .withColumn("_at", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    )
+    part, position = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = ranged.groupBy(part.alias("_part")).count()
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return (
-        staged.withColumn("_n", inside)
+        ranged.withColumn("_part", part)
         .join(F.broadcast(offsets), "_part")
-        .withColumn(name, (F.col("_offset") + F.col("_n")).cast("long"))
-        .drop("_part", "_n", "_offset")
+        .withColumn(name, (F.col("_offset") + position + 1).cast("long"))
+        .drop("_part", "_at", "_offset")
     )
 
 

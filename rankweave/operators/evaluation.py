@@ -43,18 +43,26 @@ def recall_at_k(
     predicted: str = "disease",
     truth: str = "rare_disease_name",
 ) -> DataFrame:
-    """Hits over a given number of patients per cohort (``totals``: cohort, total), rounded to 4."""
-    hits = (
-        patient_hits(ranked, ks, rank_col, predicted, truth)
-        .withColumn("cohort", F.explode(cohorts(F.col("dataset"))))
-        .groupBy("model", "cohort", "k")
-        .agg(F.sum("hit").alias("hits"))
-    )
+    """Hits over a given number of patients per cohort (``totals``: cohort, total), rounded to 4.
+
+    Every model has a row for every cohort of ``totals`` and every k; without a ranking there its hits are 0.
+    """
+    hits = _cohort_hits(patient_hits(ranked, ks, rank_col, predicted, truth)).drop("total")
     return hits.join(totals, "cohort").select(
         "model", "cohort", "k", "total", "hits", F.round(F.col("hits") / F.col("total"), 4).alias("recall")
     )
 
 
+def _cohort_hits(hits: DataFrame, main: str = "pubmed") -> DataFrame:
+    """(model, k, cohort, total, hits): all three cohorts for every model, also those without a patient, in one aggregate."""
+    members = {"all": F.lit(True), main: F.lower("dataset") == main}
+    members[f"non_{main}"] = ~F.coalesce(members[main], F.lit(False))
+    counted = hits.groupBy("model", "k").agg(F.array(*[
+        F.struct(F.lit(name).alias("cohort"), F.count_if(own).alias("total"), F.count_if(own & (F.col("hit") == 1)).alias("hits"))
+        for name, own in members.items()]).alias("_c"))
+    return counted.select("model", "k", F.inline("_c"))
+
+
 def cohort_totals(patients: DataFrame) -> DataFrame:
     """Distinct patients per cohort."""
     rows = patients.select("dataset", "patient_id").distinct()
@@ -70,12 +78,10 @@ def accuracy_at_k(
     predicted: str = "disease",
     truth: str = "rare_disease_name",
 ) -> DataFrame:
-    """The same hits over the ranked patients of the cohort."""
+    """The same hits over the ranked patients of the cohort; 0.0 for a cohort without any."""
     return (
-        patient_hits(ranked, ks, rank_col, predicted, truth)
-        .withColumn("cohort", F.explode(cohorts(F.col("dataset"))))
-        .groupBy("model", F.concat(F.lit("top"), F.col("k")).alias("topk"), F.col("cohort").alias("group"))
-        .agg(F.count("*").alias("total"), F.sum("hit").alias("hits"))
+        _cohort_hits(patient_hits(ranked, ks, rank_col, predicted, truth))
+        .select("model", F.concat(F.lit("top"), F.col("k")).alias("topk"), F.col("cohort").alias("group"), "total", "hits")
         .withColumn("accuracy", F.coalesce(F.round(F.try_divide("hits", "total"), 4), F.lit(0.0)))
     )
 
@@ -105,16 +111,22 @@ def match_rate(
     ranked: DataFrame, patients: DataFrame, ks: Sequence[int] = (1, 3, 5, 10), rank_col: str = "rank",
     predicted: str = "disease", truth: str = "rare_disease_name",
 ) -> DataFrame:
-    """Distinct matched patients over all patients of the data set, per (dataset, model, k)."""
+    """Distinct matched patients over all patients of the data set, per (dataset, model, k).
+
+    Every model has a row for every data set of ``patients``, with 0 matched where it ranks nobody.
+    """
     totals = patients.groupBy("dataset").agg(F.count_distinct("patient_id").alias("total_pts"))
+    every = totals.agg(F.collect_list(F.struct("dataset", "total_pts"))).scalar()  # one entry per data set
     matched = (
         patient_hits(ranked, ks, rank_col, predicted, truth)
         .groupBy("dataset", "model", "k")
-        .agg(F.sum("hit").alias("matched_pts"))
+        .agg(F.sum("hit").alias("n"))
+        .groupBy("model", "k")
+        .agg(F.map_from_entries(F.collect_list(F.struct("dataset", "n"))).alias("_found"))
     )
-    return matched.join(totals, "dataset").select(
-        "dataset", "model", "k", "total_pts", "matched_pts",
-        F.round(F.col("matched_pts") / F.col("total_pts"), 4).alias("match_rate"),
+    hit = F.coalesce(F.element_at("_found", F.col("dataset")), F.lit(0))
+    return matched.withColumn("_every", every).select("model", "k", "_found", F.inline("_every")).select(
+        "dataset", "model", "k", "total_pts", hit.alias("matched_pts"), F.round(hit / F.col("total_pts"), 4).alias("match_rate"),
     )
 
 
@@ -152,8 +164,17 @@ def recall_by_bucket(rates: DataFrame, max_bucket: int = 9) -> DataFrame:
     )
 
 
-def eval_detail(fused: DataFrame, truth: DataFrame, rank_col: str = "final_rank") -> DataFrame:
-    """Per (model, dataset, patient): best matched rank and name, hits at 1/3/5, predictions, status.
+def overall_recall(rates: DataFrame) -> DataFrame:
+    """Average over all models and buckets per k: matched over all patients, the line beside the buckets."""
+    return rates.groupBy("k").agg(
+        F.sum("matched_pts").alias("matched_sum"),
+        F.sum("total_pts").alias("total_sum"),
+        F.round(F.try_divide(F.sum("matched_pts"), F.sum("total_pts")), 4).alias("overall_recall"),
+    )
+
+
+def eval_detail(fused: DataFrame, truth: DataFrame, rank_col: str = "final_rank", top: int = 10) -> DataFrame:
+    """Per (model, dataset, patient): best matched rank and name, hits at 1/3/5, predictions, status, of the first ``top`` ranks.
 
     ``truth`` may hold several diseases per patient.  Names are compared by their normalised form.
     """
@@ -167,7 +188,7 @@ def eval_detail(fused: DataFrame, truth: DataFrame, rank_col: str = "final_rank"
             F.transform("names", lambda n: norm_name(n)).alias("_norms"),
         )
     )
-    rows = fused.join(names, ["dataset", "patient_id"], "left")
+    rows = fused.filter(F.col(rank_col) <= top).join(names, ["dataset", "patient_id"], "left")
     hit = F.array_contains("_norms", norm_name(F.col("disease")))
     best = F.min(F.when(hit, F.struct(F.col(rank_col).alias("r"), F.col("disease").alias("d"))))
     per_patient = rows.groupBy(*QUERY).agg(

@@ -73,7 +73,7 @@ def consensus_gate(rankings: DataFrame, priority: Sequence[str]) -> DataFrame:
     """Per (dataset, patient) the rows of the model whose ranking agrees most with the other models' rankings.
 
     Agreement is the sum of Spearman correlations with every other model over the union of candidates; a candidate a
-    model does not list gets rank n+1, an undefined correlation counts 0, ties go to the model first in
+    model does not list comes after all: one more than the larger of the union's size and the model's last rank.  An undefined correlation counts 0, ties go to the model first in
     ``priority``.
 
     Spearman is the mean product of standardised average ranks, so the sum over the other models is a product with
@@ -82,12 +82,13 @@ def consensus_gate(rankings: DataFrame, priority: Sequence[str]) -> DataFrame:
     patient = ["dataset", "patient_id"]
     rows = rankings.withColumn("cand", F.lower(F.trim("disease")))
     listed = rows.groupBy(*patient, "model", "cand").agg(F.min("rank").alias("rank"))
-    lengths = listed.groupBy(*patient, "model").agg(F.count("*").alias("n_listed"))
+    last = listed.groupBy(*patient, "model").agg(F.max("rank").alias("last_rank"))
     universe = listed.select(*patient, "cand").distinct()
     full = (
-        universe.join(lengths, patient)
+        universe.join(last, patient)
         .join(listed, [*patient, "model", "cand"], "left")
-        .withColumn("r", F.coalesce("rank", F.col("n_listed") + 1))
+        .withColumn("n_cands", F.count("*").over(Window.partitionBy(*patient, "model")))
+        .withColumn("r", F.coalesce("rank", F.greatest("n_cands", "last_rank") + 1))
     )
     per_model = Window.partitionBy(*patient, "model")
     ties = F.count("*").over(Window.partitionBy(*patient, "model", "r"))

@@ -101,7 +101,7 @@ def promotion_rate(outcomes: DataFrame) -> DataFrame:
 
 
 def all_members_agree(
-    outcomes: DataFrame, status: str, n: int, status_col: str = "kb_vs_base", keys: Sequence[str] = ("patient_id",)
+    outcomes: DataFrame, status: str, n: int, status_col: str = "kb_vs_base", keys: Sequence[str] = ("dataset", "patient_id")
 ) -> DataFrame:
     """(keys, disease) for which ``n`` distinct models share a status, counted per disease."""
     agreed = (

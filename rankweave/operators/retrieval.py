@@ -4,28 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave.functions.blocks import cell_top_k
 from rankweave.functions.text import split_trim
-from rankweave.session import stage
 
 # Scores are rounded to this many digits before they are ranked, so that ties do not depend on summation order.
 SCORE_DIGITS = 6
 
 
 def _variants(mentions: DataFrame) -> DataFrame:
-    """Mentions counted per (model, disease, CUI, name, type), combined map-side and written once.
+    """Mentions counted per (model, disease, CUI, name, type), combined map-side.
 
-    This is the only pass over the mentions: everything below reads the compact stored table.  The null filter is
-    repeated on the stored table because joins would otherwise add parts of it to single branches; with one and the
-    same filter the branches are equal and Spark reuses the term table's shuffle.
+    This is the only pass over the mentions: everything below reads the compact table, which is kept when the first
+    job computes it (lazily, and computed again if its executor is lost).
     """
     keys = ["model", "disease", "CUI"]
     known = F.col("model").isNotNull() & F.col("disease").isNotNull() & F.col("CUI").isNotNull()
     rows = mentions.filter(known).groupBy(*keys, "UMLS_name", "semantic_type_name")
-    return stage(rows.agg(F.count("*").alias("n"))).filter(known)
+    return rows.agg(F.count("*").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _term_table(variants: DataFrame) -> DataFrame:
@@ -114,7 +113,6 @@ def bm25_match(
     queries: DataFrame,
     index: DataFrame,
     k: int = 10,
-    prune_above: int | None = 50_000_000,
     seed_rows: int = 200,
 ) -> DataFrame:
     """Top ``k`` diseases per (model, dataset, patient) by ``bm25_sum desc, shared_cui_count desc, disease``.
@@ -122,8 +120,7 @@ def bm25_match(
     ``queries``: dataset, patient_id, CUI (see :func:`query_concepts`); ``index``: a stored :func:`bm25_index`.
 
     A frequent concept sits in a large share of the diseases, so joining it pairs nearly every patient with nearly
-    every disease.  When the measured number of such pairs exceeds ``prune_above`` (None: never), the exact top k is
-    found without them:
+    every disease.  The exact top k is found without these pairs:
 
     1. each query's terms are ordered by their largest weight; the strongest terms covering ``seed_rows`` index
        rows are scored, and the k-th best partial score is a lower bound for the final k-th score;
@@ -135,17 +132,11 @@ def bm25_match(
     A query without a usable bound (fewer than k scored diseases) keeps all its terms in step 2, so results never
     depend on the pruning.  The bound needs positive weights, which this idf gives for every df <= N.
     """
-    postings = index.select("model", "disease", "CUI", "bm25")
-    if prune_above is None:
-        return _top_k(_sum_scores(queries.join(postings, "CUI")), k)
-
-    # only the postings of concepts that some query has matter; the query terms with their statistics are stored
-    postings = postings.join(queries.select("CUI").distinct(), "CUI", "left_semi")
+    # only the postings of concepts that some query has matter
+    postings = index.select("model", "disease", "CUI", "bm25").join(queries.select("CUI").distinct(), "CUI", "left_semi")
     stats = postings.groupBy("model", "CUI").agg(F.count("*").alias("rows"), F.max("bm25").alias("best"))
-    terms = stage(queries.join(stats, "CUI"))
-    pairs = terms.agg(F.sum("rows")).first()[0] or 0
-    if pairs <= prune_above:
-        return _top_k(_sum_scores(terms.select(*QUERY, "CUI").join(postings, ["model", "CUI"])), k)
+    # the query terms with their statistics, and with the bound below, are small and read by several branches
+    terms = queries.join(stats, "CUI").persist(StorageLevel.MEMORY_AND_DISK)
 
     # 1. lower bound from the strongest terms
     strongest = Window.partitionBy(*QUERY).orderBy(F.col("best").desc(), "CUI")
@@ -167,11 +158,10 @@ def bm25_match(
     # 2. strong terms find the candidates (the margin covers rounding)
     margin = 10.0 ** (1 - SCORE_DIGITS)
     is_strong = F.col("bound").isNull() | (F.col("tail") >= F.col("bound") - margin)
-    planned = stage(ordered.join(bound, QUERY, "left").withColumn("strong", is_strong))
+    planned = ordered.join(bound, QUERY, "left").withColumn("strong", is_strong).persist(StorageLevel.MEMORY_AND_DISK)
     strong = planned.filter("strong").select(*QUERY, "CUI", "bound")
-    weak = planned.filter(~F.col("strong")).groupBy(*QUERY).agg(
-        F.sum("best").alias("weak_best"), F.collect_list("CUI").alias("weak_cuis")
-    )
+    weak = planned.filter(~F.col("strong"))
+    weak_best = weak.groupBy(*QUERY).agg(F.sum("best").alias("weak_best"))
     found = (
         strong.join(postings, ["model", "CUI"])
         .groupBy(*QUERY, "disease")
@@ -184,9 +174,9 @@ def bm25_match(
 
     # 3. drop hopeless candidates, complete the others
     reachable = F.col("strong_score") + F.coalesce("weak_best", F.lit(0.0)) >= F.col("bound") - margin
-    kept = found.join(weak, QUERY, "left").filter(F.col("bound").isNull() | reachable)
+    kept = found.join(weak_best, QUERY, "left").filter(F.col("bound").isNull() | reachable)
     scored = (
-        kept.select(*QUERY, "disease", "strong_score", "strong_count", F.explode_outer("weak_cuis").alias("CUI"))
+        kept.select(*QUERY, "disease", "strong_score", "strong_count").join(weak.select(*QUERY, "CUI"), QUERY, "left")
         .join(postings, ["model", "disease", "CUI"], "left")
         .groupBy(*QUERY, "disease", "strong_score", "strong_count")
         .agg(F.coalesce(F.sum("bm25"), F.lit(0.0)).alias("weak_score"), F.count("bm25").alias("weak_count"))
@@ -200,12 +190,6 @@ def bm25_match(
     return _top_k(scored, k)
 
 
-def _sum_scores(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy(*QUERY, "disease").agg(
-        F.round(F.sum("bm25"), SCORE_DIGITS).alias("bm25_sum"), F.count("*").alias("shared_cui_count")
-    )
-
-
 def _top_k(scored: DataFrame, k: int) -> DataFrame:
     window = Window.partitionBy(*QUERY).orderBy(*_rank_order())
     return (
@@ -242,12 +226,12 @@ def attach_categories(ranked: DataFrame, categories: DataFrame, name_col: str =
 def dense_rank(
     queries: DataFrame,
     candidates: DataFrame,
-    k: int | None = None,
+    k: int,
     min_score: float | None = None,
     query_bucket: int = 4096,
     candidate_bucket: int = 2048,
 ) -> DataFrame:
-    """Candidates per query by cosine (rounded to 4) descending, ties by candidate; all of them when ``k`` is None.
+    """The first ``k`` candidates per query by cosine (rounded to 4) descending, ties by candidate.
 
     ``queries``: model, dataset, patient_id, vector; ``candidates``: model, disease, vector.  A null vector (empty
     text) yields no rows; a non-finite value fails the job.
@@ -256,14 +240,11 @@ def dense_rank(
     right = candidates.filter(F.col("vector").isNotNull()).select(
         "model", F.col("disease").alias("candidate"), "vector"
     )
-    # without k a cell returns all its pairs, so it takes fewer queries
-    size = query_bucket if k is not None else min(query_bucket, 256)
-    scored = cell_top_k(left, right, QUERY, ["model"], k, size, candidate_bucket)
+    scored = cell_top_k(left, right, QUERY, ["model"], k, query_bucket, candidate_bucket)
     if min_score is not None:
         scored = scored.filter(F.col("score") > min_score)
     window = Window.partitionBy(*QUERY).orderBy(F.col("score").desc(), "candidate")
-    ranked = scored.withColumn("rank", F.row_number().over(window))
-    ranked = ranked if k is None else ranked.filter(F.col("rank") <= k)
+    ranked = scored.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
     return ranked.withColumnRenamed("candidate", "disease")
 
 

@@ -64,8 +64,27 @@ def token_ratios(values: DataFrame, ratios: Mapping[str, tuple[str, str]], by: s
     )
 
 
+# --- fixed values: where the providers put the numbers of input and output tokens; several output parts are added ---
+USAGE_LAYOUTS = {
+    "input_output": ("input_tokens", ["output_tokens"]),
+    "prompt_completion": ("prompt_tokens", ["completion_tokens"]),
+    "server_tools": ("input_tokens", ["output_tokens"]),
+    "metadata": ("prompt_token_count", ["candidates_token_count", "thoughts_token_count"]),
+}
+
+
+def token_usage(responses: DataFrame, layout: str, json_col: str = "usage", by: str = "model") -> DataFrame:
+    """(model, input_tokens, output_tokens) from the usage JSON of one provider layout; what is no number is null."""
+    source, parts = USAGE_LAYOUTS[layout]
+    doc = responses.select(by, parsed(json_col, [source, *parts]).alias("j"))
+    number = lambda path: F.col(f"j.{path}").try_cast("long")
+    values = [number(p) for p in parts]
+    known = F.when(F.coalesce(*values).isNotNull(), sum((F.coalesce(v, F.lit(0)) for v in values[1:]), F.coalesce(values[0], F.lit(0))))
+    return doc.select(by, number(source).alias("input_tokens"), known.alias("output_tokens"))
+
+
 def token_cost(usage: DataFrame, prices: DataFrame, by: str = "model") -> DataFrame:
-    """Summed cost per model in currency units.
+    """Summed cost per model in currency units, and ``n_unpriced``, the rows of a model without a price (its cost is null).
 
     ``usage``: model, input_tokens, output_tokens; ``prices``: model, threshold, and per million tokens input_low,
     input_high, output_low, output_high.  The high prices hold above ``threshold`` input tokens; a null threshold
@@ -75,9 +94,12 @@ def token_cost(usage: DataFrame, prices: DataFrame, by: str = "model") -> DataFr
     price = lambda side: F.when(tiered, F.col(f"{side}_high")).otherwise(F.col(f"{side}_low"))
     cost = lambda side: F.round(F.sum(F.col(f"{side}_tokens") * price(side) / 1e6), 6)
     return (
-        usage.join(prices, by)
+        usage.join(prices.withColumn("_priced", F.lit(1)), by, "left")
         .groupBy(by)
-        .agg(cost("input").alias("input_cost"), cost("output").alias("output_cost"))
+        .agg(
+            cost("input").alias("input_cost"), cost("output").alias("output_cost"),
+            F.count_if(F.col("_priced").isNull()).alias("n_unpriced"),
+        )
         .withColumn("total_cost", F.round(F.col("input_cost") + F.col("output_cost"), 6))
     )
 

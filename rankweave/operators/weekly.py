@@ -17,10 +17,13 @@ UNKNOWN = "unknown"
 def weekly_dedupe(notes: DataFrame, cohort: DataFrame | None = None) -> DataFrame:
     """One row per (person, symptom, Monday of the week): known severity first, then the newest note.
 
+    A note without a person, a symptom name or a date belongs to no week and is left out.
+
     ``cohort`` (person_id) restricts the persons.  The choice is an aggregate over a struct, not a window, so a hot
     person is combined before the shuffle.
     """
     rows = notes if cohort is None else notes.join(cohort.select("person_id"), "person_id", "left_semi")
+    rows = rows.dropna(subset=["person_id", "umls_name", "note_date"])
     severity = F.coalesce(F.lower("severity"), F.lit(UNKNOWN))
     order = F.struct((severity != UNKNOWN).cast("int"), F.col("note_date"), F.col("note_id"))
     week = F.date_trunc("week", "note_date").cast("timestamp_ntz")
@@ -34,7 +37,7 @@ def weekly_grid(weekly: DataFrame) -> DataFrame:
     person-week is one row with a map of its symptoms, joined once with the person's symptom set; both are bounded by
     the number of different symptoms.
     """
-    per_week = weekly.groupBy("person_id", "week_start").agg(
+    per_week = weekly.filter(F.col("umls_name").isNotNull()).groupBy("person_id", "week_start").agg(
         F.map_from_entries(F.collect_list(F.struct("umls_name", "severity"))).alias("present")
     )
     per_person = (
@@ -112,6 +115,7 @@ def pair_states(grid: DataFrame, pairs: DataFrame) -> DataFrame:
     A person-week is one row with a map from symptom to (code, severity).  The next week comes from one ``lead`` per
     person instead of a join per pair; pairs are then joined on the person.
     """
+    grid = grid.filter(F.col("umls_name").isNotNull())
     per_week = grid.groupBy("person_id", "week_start").agg(
         F.map_from_entries(F.collect_list(F.struct("umls_name", F.struct("code", "severity")))).alias("cur")
     )
@@ -163,9 +167,9 @@ def log_ratio_importance(case: DataFrame, control: DataFrame, smooth: float = 5.
         control.select("person_id", "umls_name", F.lit(False).alias("is_case"))
     )
     persons = both.distinct().groupBy("umls_name").agg(
-        F.count_if("is_case").alias("freq_ipf"), F.count_if(~F.col("is_case")).alias("freq_ctrl")
+        F.count_if("is_case").alias("freq_case"), F.count_if(~F.col("is_case")).alias("freq_ctrl")
     )
-    ratio = (F.col("freq_ipf") + smooth) / (F.col("freq_ctrl") + smooth)
+    ratio = (F.col("freq_case") + smooth) / (F.col("freq_ctrl") + smooth)
     return persons.withColumn("importance_score", F.round(F.log2(ratio), 9))
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from rankweave.functions.text import words
 from rankweave.operators.vocabulary import TARGET_TYPES
-from rankweave.sources.readers import spread
 
 MODELS = ("m0", "m1", "m2", "m3")
 LANGS = ("de", "en", "es", "fr")
@@ -24,8 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents, over all cores even when they come as one unsplittable file."""
-    return spread(table(spark, sf_dir, "documents"), "doc_id")
+    return table(spark, sf_dir, "documents")
 
 
 # ---------------------------------------------------------------- text: documents and benchmark
@@ -113,8 +111,10 @@ def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def section_tables(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    """Four section tables keyed by number: documents, pages, benchmark items, last conversation turns."""
-    last = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"))
+    """Four section tables keyed by number: documents, pages, benchmark items, whole conversations turn by turn."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    last = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
+        F.array_join(F.transform(turns, lambda t: t["text"]), "\n").alias("text"))
     sources = [
         (table(spark, sf_dir, "documents"), "doc_id", "text", "clinical_presentation_section"),
         (table(spark, sf_dir, "pages"), "page_id", "html", "diagnostic_evaluation_section"),
@@ -128,9 +128,10 @@ def section_tables(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four models, each seeing 16 of the 64 dimensions; the data set follows the signs of the first two values."""
+    """Four models, each seeing a quarter of the dimensions; the data set follows the signs of the first two values."""
     first, second = F.get("embedding", F.lit(0)), F.get("embedding", F.lit(1))
-    slices = F.array(*[F.slice("embedding", 16 * m + 1, 16) for m in range(4)])
+    width = F.ceil(F.size("embedding") / 4).cast("int")  # the last model has what is left
+    slices = F.array(*[F.slice("embedding", width * m + 1, width) for m in range(4)])
     return (
         table(spark, sf_dir, "embeddings")
         .select(
@@ -168,7 +169,11 @@ def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _active(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(model, dataset, patient, disease, CUI): positions with a value above 0.15 as concepts."""
+    """(model, dataset, patient, disease, CUI): the positions of the values in a vector's upper part as concepts.
+
+    Which positions a vector has is the binding's own definition of a patient's concepts, as a text's words are; every
+    vector takes part.
+    """
     rows = vectors(spark, sf_dir).select(
         "model", "dataset", "patient_id", "rare_disease_name", "m", F.posexplode("vector").alias("p", "v")
     )
@@ -267,8 +272,23 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def usage_json(spark: SparkSession, sf_dir: str, layout: str) -> DataFrame:
+    """(model, usage): events as responses whose usage JSON has one of the provider layouts; a tiny value is no number."""
+    k = F.get_json_object("props", "$.k").cast("bigint") * 3000
+    shown = F.when(F.col("value") < 1, F.lit('"n/a"')).otherwise(F.floor(F.col("value") * 10).cast("string"))
+    reasoning = F.floor(F.col("value") * 3).cast("string")
+    pieces = {
+        "input_output": ('{"input_tokens": ', k, ', "output_tokens": ', shown, ', "output_tokens_details": {"reasoning_tokens": ', reasoning, "}}"),
+        "prompt_completion": ('{"completion_tokens": ', shown, ', "prompt_tokens": ', k, ', "completion_tokens_details": {"reasoning_tokens": ', reasoning, "}}"),
+        "server_tools": ('{"input_tokens": ', k, ', "output_tokens": ', shown, ', "server_tool_use": {"web_search_requests": ', reasoning, "}}"),
+        "metadata": ('{"prompt_token_count": ', k, ', "candidates_token_count": ', shown, ', "thoughts_token_count": ', reasoning, "}"),
+    }[layout]
+    text = F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in pieces])
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("model"), text.alias("usage"))
+
+
 RESULTS = "array<struct<title:string,type:string,url:string,encrypted_content:string>>"
-HREF = r'<a href="([^"]*)">([^<]*)</a>'
+HREF = r'<a\b[^>]*?\bhref="([^"]*)"[^>]*>([^<]*)</a>'  # whatever other attributes the anchor has
 
 
 def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:

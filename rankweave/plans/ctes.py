@@ -82,7 +82,7 @@ CTES: dict[str, str] = {
     "grams": """SELECT doc_id, lang, piece AS term, CAST(e - length(piece) AS INTEGER) AS start_char, e AS end_char FROM tokens
         UNION ALL SELECT doc_id, lang, piece || ' ' || next_piece, CAST(e - length(piece) AS INTEGER), next_e FROM tokens
         WHERE next_piece IS NOT NULL""",
-    "last_turn": "SELECT conv_id, max_by(text, turn) AS text FROM conversations GROUP BY conv_id",
+    "last_turn": "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id",
     "sections": """SELECT disease_name, max(a) AS clinical_presentation_section, max(b) AS diagnostic_evaluation_section,
         max(c) AS subtype_variant_section, max(d) AS management_therapy_section FROM (
         SELECT CAST(doc_id AS VARCHAR) AS disease_name, text AS a, NULL AS b, NULL AS c, NULL AS d FROM documents
@@ -92,17 +92,17 @@ CTES: dict[str, str] = {
     # --- vectors
     "pv": """SELECT 'm' || m AS model, CASE WHEN embedding[1] >= 0 THEN 'pubmed' WHEN embedding[2] >= 0 THEN 'hms' ELSE 'mme' END AS dataset,
         CAST(vec_id AS VARCHAR) AS patient_id, 'Disease ' || label AS rare_disease_name, m,
-        CAST(embedding[m * 16 + 1 : m * 16 + 16] AS DOUBLE[]) AS vector
+        CAST(embedding[m * ceil(len(embedding) / 4)::INT + 1 : (m + 1) * ceil(len(embedding) / 4)::INT] AS DOUBLE[]) AS vector
     FROM (SELECT *, unnest(range(0, 4)) AS m FROM embeddings)""",
     "cv": """SELECT model, rare_disease_name AS disease, list(a ORDER BY p) AS vector FROM (
-        SELECT model, rare_disease_name, p, avg(vector[p]) AS a FROM (SELECT *, unnest(range(1, 17)) AS p FROM pv) GROUP BY ALL)
+        SELECT model, rare_disease_name, p, avg(vector[p]) AS a FROM (SELECT *, unnest(range(1, len(vector) + 1)) AS p FROM pv) GROUP BY ALL)
         GROUP BY ALL""",
     "dense": f"""SELECT *, CAST(row_number() OVER (PARTITION BY {Q} ORDER BY score DESC, disease) AS INTEGER) AS rank FROM (
         SELECT model, dataset, patient_id, disease, round(list_cosine_similarity(pv.vector, cv.vector), 4) + 0.0 AS score
         FROM pv JOIN cv USING (model)) QUALIFY rank <= 5""",
     "active": """SELECT model, dataset, patient_id, rare_disease_name AS disease, 'P' || (m * 16 + p - 1) AS CUI,
         'position P' || (m * 16 + p - 1) AS UMLS_name, 'Finding' AS semantic_type_name
-        FROM (SELECT *, unnest(range(1, 17)) AS p FROM pv) WHERE vector[p] > 0.15""",
+        FROM (SELECT *, unnest(range(1, len(vector) + 1)) AS p FROM pv) WHERE vector[p] > 0.15""",
     "pos_index": index_sql("active"),
     "sparse_scores": """SELECT i.model, q.dataset, q.patient_id, i.disease, round(sum(i.bm25), 6) AS bm25_sum, count(*) AS shared_cui_count
         FROM (SELECT DISTINCT dataset, patient_id, CUI FROM active) q JOIN pos_index i USING (CUI) GROUP BY ALL""",
@@ -130,17 +130,22 @@ CTES: dict[str, str] = {
     "dense_hits": f"""SELECT {Q}, k, coalesce(CAST(best <= k AS INTEGER), 0) AS hit FROM (
         SELECT {Q}, min(CASE WHEN disease = rare_disease_name THEN rank END) AS best FROM dense_truth GROUP BY ALL),
         (SELECT unnest([1, 3, 5]) AS k)""",
-    "accuracy": f"""SELECT model, 'top' || k AS topk, cohort AS "group", count(*) AS total, CAST(sum(hit) AS BIGINT) AS hits,
-        round(sum(hit) / count(*), 4) AS accuracy FROM (SELECT *, {COHORT} AS cohort FROM fused_hits) GROUP BY ALL""",
-    "rates": """SELECT h.dataset, h.model, h.k, t.total_pts, CAST(sum(hit) AS BIGINT) AS matched_pts, round(sum(hit) / max(t.total_pts), 4) AS match_rate
-        FROM dense_hits h JOIN (SELECT dataset, count(DISTINCT patient_id) AS total_pts FROM truth GROUP BY ALL) t USING (dataset) GROUP BY ALL""",
+    "model_grid": """SELECT model, k, cohort FROM (SELECT DISTINCT model FROM dense), (SELECT unnest([1, 3, 5]) AS k),
+        (SELECT unnest(['all', 'pubmed', 'non_pubmed']) AS cohort)""",
+    "accuracy": f"""SELECT model, 'top' || k AS topk, cohort AS "group", count(hit) AS total, CAST(coalesce(sum(hit), 0) AS BIGINT) AS hits,
+        coalesce(round(sum(hit) / nullif(count(hit), 0), 4), 0) AS accuracy
+        FROM model_grid LEFT JOIN (SELECT *, {COHORT} AS cohort FROM fused_hits) USING (model, k, cohort) GROUP BY ALL""",
+    "rates": """SELECT t.dataset, g.model, g.k, t.total_pts, CAST(coalesce(sum(hit), 0) AS BIGINT) AS matched_pts,
+        round(coalesce(sum(hit), 0) / max(t.total_pts), 4) AS match_rate
+        FROM (SELECT dataset, count(DISTINCT patient_id) AS total_pts FROM truth GROUP BY ALL) t CROSS JOIN (SELECT DISTINCT model, k FROM model_grid) g
+        LEFT JOIN dense_hits h ON h.dataset = t.dataset AND h.model = g.model AND h.k = g.k GROUP BY ALL""",
     "complexity": """SELECT dataset, model, k, num_true_classifications, count(DISTINCT patient_id) AS total_pts,
         count(DISTINCT disease) AS total_diseases, count(DISTINCT CASE WHEN disease = rare_disease_name THEN patient_id END) AS matched_pts
         FROM dense_truth, (SELECT unnest([1, 3, 5]) AS k) WHERE rank <= k GROUP BY ALL""",
     "detail": f"""SELECT {Q}, rare_disease_name, min(CASE WHEN disease = rare_disease_name THEN final_rank END) AS matched_rank,
         min(CASE WHEN disease = rare_disease_name THEN disease END) AS matched_predicted_disease,
         CAST(count(*) AS INTEGER) AS n_predictions, string_agg(disease, ' | ' ORDER BY final_rank) AS top10_predicted_diseases
-        FROM fused_truth GROUP BY ALL""",
+        FROM fused_truth WHERE final_rank <= 10 GROUP BY ALL""",
     "details": """SELECT *, coalesce(CAST(matched_rank <= 1 AS INTEGER), 0) AS hit_top1, coalesce(CAST(matched_rank <= 3 AS INTEGER), 0) AS hit_top3,
         coalesce(CAST(matched_rank <= 5 AS INTEGER), 0) AS hit_top5,
         CASE WHEN matched_rank IS NULL THEN 'not_found_in_top10' ELSE 'matched' END AS status FROM detail""",
@@ -150,9 +155,10 @@ CTES: dict[str, str] = {
         FROM dense_truth_rank x FULL OUTER JOIN fused_rank y USING ({Q}))""",
     "outcomes_cohort": f"SELECT *, {COHORT} AS cohort FROM outcomes",
     "lists": "SELECT dataset, patient_id, model, disease AS cand, rank FROM dense",
-    "universe": """SELECT dataset, patient_id, model, cand, coalesce(l.rank, n + 1) AS r
-        FROM (SELECT DISTINCT dataset, patient_id, cand FROM lists)
-        JOIN (SELECT dataset, patient_id, model, count(*) AS n FROM lists GROUP BY ALL) USING (dataset, patient_id)
+    "universe": """SELECT dataset, patient_id, model, cand, coalesce(l.rank, greatest(n, last_rank) + 1) AS r
+        FROM (SELECT dataset, patient_id, unnest(cands) AS cand, len(cands) AS n FROM (
+          SELECT dataset, patient_id, list(DISTINCT cand) AS cands FROM lists GROUP BY ALL))
+        JOIN (SELECT dataset, patient_id, model, max(rank) AS last_rank FROM lists GROUP BY ALL) USING (dataset, patient_id)
         LEFT JOIN lists l USING (dataset, patient_id, model, cand)""",
     "avg_ranks": """SELECT *, rank() OVER (PARTITION BY dataset, patient_id, model ORDER BY r)
         + (count(*) OVER (PARTITION BY dataset, patient_id, model, r) - 1) / 2 AS ar FROM universe""",
@@ -200,9 +206,9 @@ CTES: dict[str, str] = {
         GROUP BY ALL""",
     "states": """SELECT * FROM (SELECT *, lead(joint_state) OVER (PARTITION BY person_id, symptom_1, symptom_2 ORDER BY week_index) AS next_state FROM pw)
         WHERE next_state IS NOT NULL""",
-    "importance": """SELECT umls_name, count(DISTINCT CASE WHEN "group" = 'case' THEN person_id END) AS freq_ipf,
+    "importance": """SELECT umls_name, count(DISTINCT CASE WHEN "group" = 'case' THEN person_id END) AS freq_case,
         count(DISTINCT CASE WHEN "group" = 'control' THEN person_id END) AS freq_ctrl FROM weekly JOIN persons USING (person_id) GROUP BY ALL""",
-    "importance_score": "SELECT *, round(log2((freq_ipf + 5.0) / (freq_ctrl + 5.0)), 9) AS importance_score FROM importance",
+    "importance_score": "SELECT *, round(log2((freq_case + 5.0) / (freq_ctrl + 5.0)), 9) AS importance_score FROM importance",
     "weights": """SELECT *, round(importance_score * ln(1 + freq_within_patient), 9) AS umls_weight FROM (
         SELECT person_id, umls_name, count(DISTINCT week_start) AS freq_within_patient FROM weekly GROUP BY ALL)
         LEFT JOIN (SELECT umls_name, importance_score FROM importance_score) USING (umls_name)""",

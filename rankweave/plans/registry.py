@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -14,7 +15,7 @@ from rankweave.operators import cohort, concepts, evaluation, fusion, outcomes,
 from rankweave.operators.vocabulary import BLOCKED_NAMES, SYMPTOM_TYPES, TERMINOLOGIES
 from rankweave.plans import bindings as b
 from rankweave.plans.ctes import COHORT, N_TYPES, Q, TITLE_LIST, TYPE_LIST, quoted, sql
-from rankweave.session import stage, staging_dir
+from rankweave.session import staging_dir
 from rankweave.sources import tables
 from rankweave.sources.schema import standardize
 from rankweave.streaming.incremental import new_rows
@@ -282,15 +283,18 @@ def bm25_index(spark, sf):
 
 @query("R2", f"SELECT {Q}, disease, shared_cui_count, bm25_sum, rank FROM text_ranked")
 def bm25_match(spark, sf):
-    # the index is a stored product; here it is written once and read by every step
-    index = stage(_text_index(spark, sf))
+    # the index is a product of its own; here it is kept when the first step computes it
+    index = _text_index(spark, sf).persist()
     return retrieval.bm25_match(retrieval.query_concepts(b.text_patients(spark, sf)), index)
 
 
-@query("R2", f"SELECT {Q}, disease, shared_cui_count, bm25_sum, rank FROM text_ranked")
-def bm25_match_pruned(spark, sf):
-    index = stage(_text_index(spark, sf))
-    return retrieval.bm25_match(retrieval.query_concepts(b.text_patients(spark, sf)), index, prune_above=0)
+@query(
+    "R2",
+    f"""SELECT {Q}, disease, shared_cui_count, bm25_sum, rank, num_true_classifications, final_classification_string
+    FROM sparse LEFT JOIN categories ON lower(trim(disease)) = lower(trim(categories.rare_disease_name))""",
+)
+def bm25_match_categories(spark, sf):
+    return retrieval.attach_categories(_sparse(spark, sf), b.categories(spark, sf))
 
 
 @query(
@@ -302,9 +306,9 @@ def bm25_match_pruned(spark, sf):
     JOIN pos_index i ON i.model = s.model AND i.disease = s.disease AND i.CUI = q.CUI GROUP BY ALL) m USING ({Q}, disease)""",
 )
 def matched_concepts(spark, sf):
-    index = stage(retrieval.bm25_index(b.position_mentions(spark, sf)))
+    index = retrieval.bm25_index(b.position_mentions(spark, sf)).persist()
     queries = b.position_queries(spark, sf)
-    return retrieval.matched_concepts(retrieval.bm25_match(queries, index, k=5, prune_above=None), queries, index)
+    return retrieval.matched_concepts(retrieval.bm25_match(queries, index, k=5), queries, index)
 
 
 def _dense(spark, sf):
@@ -312,8 +316,8 @@ def _dense(spark, sf):
 
 
 def _sparse(spark, sf):
-    index = retrieval.bm25_index(b.position_mentions(spark, sf))
-    return retrieval.bm25_match(b.position_queries(spark, sf), index, k=5, prune_above=None)
+    index = retrieval.bm25_index(b.position_mentions(spark, sf)).persist()
+    return retrieval.bm25_match(b.position_queries(spark, sf), index, k=5)
 
 
 def _fused(spark, sf):
@@ -449,9 +453,9 @@ def _dense_truth(spark, sf):
 
 @query(
     "E1",
-    f"""SELECT model, cohort, k, t.total, CAST(sum(hit) AS BIGINT) AS hits, round(sum(hit) / max(t.total), 4) AS recall
-    FROM (SELECT *, {COHORT} AS cohort FROM dense_hits)
-    JOIN (SELECT cohort, count(*) AS total FROM (SELECT *, {COHORT} AS cohort FROM truth) GROUP BY ALL) t USING (cohort) GROUP BY ALL""",
+    f"""SELECT model, cohort, k, t.total, CAST(coalesce(sum(hit), 0) AS BIGINT) AS hits, round(coalesce(sum(hit), 0) / max(t.total), 4) AS recall
+    FROM model_grid JOIN (SELECT cohort, count(*) AS total FROM (SELECT *, {COHORT} AS cohort FROM truth) GROUP BY ALL) t USING (cohort)
+    LEFT JOIN (SELECT *, {COHORT} AS cohort FROM dense_hits) USING (model, cohort, k) GROUP BY ALL""",
 )
 def recall_at_k(spark, sf):
     return evaluation.recall_at_k(_dense_truth(spark, sf), evaluation.cohort_totals(b.truth(spark, sf)))
@@ -509,6 +513,15 @@ def recall_by_bucket(spark, sf):
     return evaluation.recall_by_bucket(evaluation.rate_by_complexity(_dense_truth(spark, sf)))
 
 
+@query(
+    "E5",
+    """SELECT k, CAST(sum(matched_pts) AS BIGINT) AS matched_sum, CAST(sum(total_pts) AS BIGINT) AS total_sum,
+    round(sum(matched_pts) / sum(total_pts), 4) AS overall_recall FROM complexity GROUP BY ALL""",
+)
+def overall_recall(spark, sf):
+    return evaluation.overall_recall(evaluation.rate_by_complexity(_dense_truth(spark, sf)))
+
+
 def _detail(spark, sf):
     return evaluation.eval_detail(_fused(spark, sf), b.truth(spark, sf))
 
@@ -534,7 +547,7 @@ def eval_summary(spark, sf):
 
 
 def _outcomes(spark, sf):
-    dense = stage(_dense(spark, sf))  # read by both rankings
+    dense = _dense(spark, sf).persist()  # read by both rankings
     base = evaluation.truth_rank(_with_truth(dense, spark, sf), rank_col="rank")
     new = evaluation.truth_rank(_with_truth(fusion.rrf_fuse(dense, _sparse(spark, sf)), spark, sf))
     return outcomes.rank_transition(base, new)
@@ -587,7 +600,7 @@ def promotion_rate(spark, sf):
 
 @query(
     "E10",
-    """SELECT correct_disease, count(*) AS n_cases FROM (SELECT patient_id, rare_disease_name AS correct_disease
+    """SELECT correct_disease, count(*) AS n_cases FROM (SELECT dataset, patient_id, rare_disease_name AS correct_disease
     FROM outcomes JOIN truth USING (dataset, patient_id) WHERE kb_vs_base = 'same' GROUP BY ALL HAVING count(DISTINCT model) = 3)
     GROUP BY ALL""",
 )
@@ -743,8 +756,8 @@ def _weekly(spark, sf):
 
 
 def _weekly_stored(spark, sf):
-    """The weekly table as a stored product, for plans that read it several times."""
-    return stage(_weekly(spark, sf))
+    """The weekly table, kept for plans that read it several times."""
+    return _weekly(spark, sf).persist()
 
 
 def _before(rows, spark, sf):
@@ -833,7 +846,7 @@ def pair_states(spark, sf):
     WHERE next_state IS NOT NULL GROUP BY ALL""",
 )
 def pair_transitions_orders(spark, sf):
-    rows = stage(weekly.weekly_dedupe(b.order_notes(spark, sf, "p_type")))
+    rows = weekly.weekly_dedupe(b.order_notes(spark, sf, "p_type")).persist()
     states = weekly.pair_states(weekly.weekly_grid(rows), weekly.supported_pairs(weekly.pair_cooccurrence(rows)))
     return states.groupBy("symptom_1", "symptom_2", "joint_state", "next_state").agg(
         F.count("*").alias("n"), F.count_distinct("person_id").alias("n_persons")
@@ -953,7 +966,7 @@ def _pairs(spark, sf):
     orders = b.table(spark, sf, "orders")
     return orders.select(
         F.col("o_custkey").alias("case_id"), (F.col("o_custkey") + 100000000).alias("control_id"),
-        F.col("o_orderdate").alias("case_dx_date"), F.col("o_orderdate").alias("non_IPF_control_dx_date"),
+        F.col("o_orderdate").alias("case_dx_date"), F.col("o_orderdate").alias("control_dx_date"),
         F.col("o_orderstatus").alias("gender"), F.col("o_orderpriority").alias("race"),
         F.round(F.col("o_totalprice") / 10000, 2).alias("case_onset_age"), F.round(F.col("o_totalprice") / 9000, 2).alias("control_onset_age"),
     )
@@ -1044,21 +1057,45 @@ PRICES = [
     ("click", None, 3.0, 3.0, 15.0, 15.0),
     ("view", None, 3.0, 3.0, 15.0, 15.0),
     ("error", 200000, 1.25, 2.5, 10.0, 15.0),
-    ("purchase", 200000, 1.25, 2.5, 10.0, 15.0),
     ("signup", 200000, 1.25, 2.5, 10.0, 15.0),
 ]
 
 
-@query(
-    "L3",
-    """SELECT *, round(input_cost + output_cost, 6) AS total_cost FROM (SELECT model,
-    round(sum(CASE WHEN model IN ('click', 'view') THEN k * 3000 * 3.0::DOUBLE WHEN k * 3000 > 200000 THEN k * 3000 * 2.5::DOUBLE ELSE k * 3000 * 1.25::DOUBLE END / 1e6), 6) AS input_cost,
-    round(sum(CASE WHEN model IN ('click', 'view') OR k * 3000 > 200000 THEN floor(value * 10) * 15.0::DOUBLE ELSE floor(value * 10) * 10.0::DOUBLE END / 1e6), 6) AS output_cost
-    FROM usage GROUP BY model)""",
-)
-def token_cost(spark, sf):
+def _cost_sql(layout: str) -> str:
+    """Cost over the numbers that the binding of this layout writes; purchases have no price."""
+    out = "CASE WHEN value >= 1 THEN floor(value * 10) END"
+    out = f"CASE WHEN value >= 1 THEN floor(value * 10) ELSE 0 END + floor(value * 3)" if layout == "metadata" else out
+    flat = "model IN ('click', 'view')"
+    return f"""SELECT *, round(input_cost + output_cost, 6) AS total_cost FROM (SELECT model,
+    round(sum(CASE WHEN model = 'purchase' THEN NULL WHEN {flat} THEN k * 3000 * 3.0::DOUBLE WHEN k * 3000 > 200000 THEN k * 3000 * 2.5::DOUBLE ELSE k * 3000 * 1.25::DOUBLE END / 1e6), 6) AS input_cost,
+    round(sum(CASE WHEN model = 'purchase' THEN NULL WHEN {flat} OR k * 3000 > 200000 THEN ({out}) * 15.0::DOUBLE ELSE ({out}) * 10.0::DOUBLE END / 1e6), 6) AS output_cost,
+    count(*) FILTER (model = 'purchase') AS n_unpriced FROM usage GROUP BY model)"""
+
+
+def _cost(spark, sf, layout):
     schema = "model string, threshold long, input_low double, input_high double, output_low double, output_high double"
-    return telemetry.token_cost(b.usage(spark, sf), spark.createDataFrame(PRICES, schema))
+    usage = telemetry.token_usage(b.usage_json(spark, sf, layout), layout)
+    return telemetry.token_cost(usage, spark.createDataFrame(PRICES, schema))
+
+
+@query("L3", _cost_sql("input_output"))
+def token_cost(spark, sf):
+    return _cost(spark, sf, "input_output")
+
+
+@query("L3", _cost_sql("prompt_completion"))
+def token_cost_prompt(spark, sf):
+    return _cost(spark, sf, "prompt_completion")
+
+
+@query("L3", _cost_sql("server_tools"))
+def token_cost_server_tools(spark, sf):
+    return _cost(spark, sf, "server_tools")
+
+
+@query("L3", _cost_sql("metadata"))
+def token_cost_metadata(spark, sf):
+    return _cost(spark, sf, "metadata")
 
 
 def _citations(spark, sf):
@@ -1239,8 +1276,9 @@ def standardize_columns(spark, sf):
 @query("X2", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders")
 def save_and_load(spark, sf):
     rows = b.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
-    tables.save(rows, "rankweave_orders", ["o_orderstatus"], path=f"{staging_dir(spark)}/rankweave/tables/orders")
-    return tables.load(spark, "rankweave_orders")
+    name = f"rankweave_orders_{uuid.uuid4().hex}"  # two runs at once keep out of each other's way
+    tables.save(rows, name, ["o_orderstatus"], path=f"{staging_dir(spark)}/rankweave/tables/{name}")
+    return tables.load(spark, name)
 
 
 @query(

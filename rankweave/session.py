@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -27,23 +30,39 @@ def build_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "ran
 def staging_dir(spark: SparkSession) -> str:
     """Folder for stored intermediate tables: the shared one the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent, as in a local test, is a folder of our own made and remembered.
+    Only a local session without that setting gets a folder of its own, which goes when the program ends.  On a cluster
+    each executor would write to its own disk there, so a missing setting is an error.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="rankweave-")
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="rankweave-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        named = f"file://{folder}"
         sc.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+_staged: list[str] = []
+
+
 def stage(df: DataFrame) -> DataFrame:
-    """Write an intermediate result once and go on from the stored table.
+    """Write an intermediate result once, as an explicit step, and go on from the stored table.
 
     Cuts the lineage like a reliable checkpoint and survives lost executors, but is columnar: later steps read only
-    the columns they need, and Spark plans their joins with the real size.
+    the columns they need, and Spark plans their joins with the real size.  ``drop_staged`` removes the tables.
     """
     spark = df.sparkSession
     path = f"{staging_dir(spark)}/rankweave/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete every table that :func:`stage` has written; to be called when the results that read them are done."""
+    while _staged:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None) -> DataFrame:
-    """CSV with a header.  With a ``schema`` the columns are typed; without, Spark infers them in one extra pass."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+def read_csv(
+    spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None, multi_line: bool = False
+) -> DataFrame:
+    """CSV with a header.  With a ``schema`` the columns are typed; without, Spark infers them in one extra pass.
+
+    Large files are split at line ends.  ``multi_line`` is for fields that hold line breaks; such a file is one split.
+    """
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     return reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", True).csv(path)
 
 
@@ -34,13 +39,3 @@ def with_path_keys(df: DataFrame, names: Sequence[str], depth: int = 1) -> DataF
         back = depth + len(names) - i
         out = out.withColumn(name, F.url_decode(F.get(parts, F.size(parts) - back)))
     return out
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition a table that arrives in fewer splits than there are cores; leave any other table alone.
-
-    For CPU-heavy text work on files that cannot be split (one row group).  A large table has more splits than
-    cores and is read where it lies.  The hash of a key makes the placement repeatable after a lost executor.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 def new_rows(df: DataFrame, done: DataFrame, key: Sequence[str]) -> DataFrame:
     """Rows whose key is not in ``done``."""
-    return df.join(done.select(*key).distinct(), list(key), "left_anti")
+    return df.join(done.select(*key), list(key), "left_anti")
 
 
 def append_new(df: DataFrame, table: str, key: Sequence[str], partition_by: Sequence[str] = ()) -> DataFrame:

@@ -1,5 +1,7 @@
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from rankweave.operators import evaluation as e
 from rankweave.operators import outcomes as o
 
@@ -77,7 +79,9 @@ def test_transitions(spark):
 
 def test_all_members_agree(spark):
     rows = [("a", "1", "Gout", "same"), ("b", "1", "Gout", "same"), ("a", "2", "Gout", "same"), ("b", "2", "Gout", "worse"), ("b", "1", "Gout", "same")]
-    df = spark.createDataFrame(rows, "model string, patient_id string, correct_disease string, kb_vs_base string")
+    df = spark.createDataFrame([(m, "p", *x) for m, *x in rows], "model string, dataset string, patient_id string, correct_disease string, kb_vs_base string")
+    other = df.withColumn("dataset", F.when(F.col("model") == "a", "q").otherwise("p"))  # two data sets may share a patient_id
+    assert o.all_members_agree(other, "same", 2).count() == 0
     assert [tuple(r) for r in o.all_members_agree(df, "same", 2).collect()] == [("Gout", 1)]
 
 

@@ -34,7 +34,7 @@ def test_filter_and_columns_reach_the_scan(spark):
 def test_top_k_is_limited_before_the_shuffle(spark):
     index = spark.createDataFrame([("m", "d", "x", 1.0)], "model string, disease string, CUI string, bm25 double")
     queries = spark.createDataFrame([("p", "1", "x")], "dataset string, patient_id string, CUI string")
-    assert "WindowGroupLimit" in plan_of(retrieval.bm25_match(queries, index, prune_above=None))
+    assert "WindowGroupLimit" in plan_of(retrieval.bm25_match(queries, index))
 
 
 def test_best_row_per_key_is_an_aggregate(spark):

@@ -51,9 +51,11 @@ def test_pruned_matching_equals_direct(spark, seed):
     queries += [("p", "only hot", "hot"), ("p", "nothing", "none")]
     queries = spark.createDataFrame(queries, "dataset string, patient_id string, CUI string")
     key = lambda df: sorted(tuple(x) for x in df.collect())
-    direct = key(r.bm25_match(queries, index, k=5, prune_above=None))
+    pairs = queries.join(index, "CUI").groupBy(*r.QUERY, "disease").agg(
+        F.round(F.sum("bm25"), r.SCORE_DIGITS).alias("bm25_sum"), F.count("*").alias("shared_cui_count"))
+    direct = key(r._top_k(pairs, 5))
     assert key(r.bm25_match(queries, index, k=5)) == direct
-    assert key(r.bm25_match(queries, index, k=5, prune_above=0, seed_rows=20)) == direct
+    assert key(r.bm25_match(queries, index, k=5, seed_rows=20)) == direct
     assert sum(1 for x in direct if x[2] == "only hot") == 5 and not any(x[2] == "nothing" for x in direct)
 
 
@@ -91,15 +93,15 @@ def test_dense_rank_equals_brute_force(spark):
     # tiny buckets force several cells on both sides
     got = r.dense_rank(queries, cands, k=7, query_bucket=10, candidate_bucket=8)
     assert {(x["patient_id"], x["disease"], x["rank"]) for x in got.collect()} == want
-    assert r.dense_rank(queries, cands).count() == 37 * 53
-    assert r.dense_rank(queries, cands, min_score=0.0).filter(F.col("score") <= 0).count() == 0
+    assert r.dense_rank(queries, cands, k=60).count() == 37 * 53
+    assert r.dense_rank(queries, cands, k=60, min_score=0.0).filter(F.col("score") <= 0).count() == 0
 
 
 def test_dense_rank_rejects_non_finite(spark):
     queries = spark.createDataFrame([("m", "p", "1", [float("nan"), 1.0])], "model string, dataset string, patient_id string, vector array<double>")
     cands = spark.createDataFrame([("m", "c", [1.0, 0.0])], "model string, disease string, vector array<double>")
     with pytest.raises(Exception, match="non-finite"):
-        r.dense_rank(queries, cands).collect()
+        r.dense_rank(queries, cands, k=3).collect()
 
 
 def test_tfidf_and_slices(spark):

@@ -77,6 +77,40 @@ def test_append_new_is_idempotent(spark, database):
     assert sorted(tuple(r) for r in append_new(more, name, ["name"]).collect()) == [("a", 1), ("b", 2), ("c", 3)]
 
 
-def test_spread_only_widens(spark):
-    assert readers.spread(spark.range(10).coalesce(1), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert readers.spread(spark.range(0, 100, 1, 64), "id").rdd.getNumPartitions() == 64
+def test_csv_is_split_unless_fields_hold_line_breaks(spark, tmp_path):
+    path = str(tmp_path / "x.csv")
+    with open(path, "w") as f:
+        f.write("a,b\n" + "".join(f'{i},"text {i} ""quoted"", more"\n' for i in range(20000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        df = readers.read_csv(spark, path, "a int, b string")
+        assert df.rdd.getNumPartitions() > 3 and df.count() == 20000
+        assert df.filter("a = 7").first()["b"] == 'text 7 "quoted", more'
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    with open(path, "w") as f:
+        f.write('a,b\n1,"two\nlines"\n')
+    assert readers.read_csv(spark, path, "a int, b string", multi_line=True).first()["b"] == "two\nlines"
+
+
+def test_staging_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from rankweave.session import staging_dir
+
+    sc = SimpleNamespace(getConf=lambda: {}, getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        staging_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *a: None)))
+
+
+def test_staged_tables_are_dropped(spark):
+    from rankweave import session
+
+    stored = session.stage(spark.range(3))
+    path = stored.inputFiles()[0]
+    assert stored.count() == 3
+    session.drop_staged(spark)
+    import os
+    from urllib.parse import urlparse
+
+    assert not os.path.exists(os.path.dirname(urlparse(path).path))

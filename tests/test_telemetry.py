@@ -29,11 +29,12 @@ def test_token_stats(spark):
 
 
 def test_token_cost_tiers(spark):
-    usage = spark.createDataFrame([("flat", 1_000_000, 1_000_000), ("tier", 200_000, 100_000), ("tier", 200_001, 100_000)], "model string, input_tokens long, output_tokens long")
+    usage = spark.createDataFrame([("unpriced", 5, 5), ("flat", 1_000_000, 1_000_000), ("tier", 200_000, 100_000), ("tier", 200_001, 100_000)], "model string, input_tokens long, output_tokens long")
     prices = spark.createDataFrame([("flat", None, 3.0, 3.0, 15.0, 15.0), ("tier", 200_000, 1.25, 2.5, 10.0, 15.0)],
         "model string, threshold long, input_low double, input_high double, output_low double, output_high double")
     rows = {r["model"]: r for r in t.token_cost(usage, prices).collect()}
-    assert rows["flat"]["total_cost"] == 18.0
+    assert rows["flat"]["total_cost"] == 18.0 and rows["flat"]["n_unpriced"] == 0
+    assert rows["unpriced"]["total_cost"] is None and rows["unpriced"]["n_unpriced"] == 1
     assert rows["tier"]["input_cost"] == pytest.approx(0.25 + 0.200001 * 2.5, abs=1e-6) and rows["tier"]["output_cost"] == 2.5
 
 

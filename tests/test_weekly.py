@@ -107,7 +107,7 @@ def test_importance_weights_totals(spark):
     case = weekly_rows(spark, [(1, "a", day(0), "x"), (1, "a", day(7), "x"), (2, "a", day(0), "x")])
     control = weekly_rows(spark, [(3, "b", day(0), "x")])
     imp = w.log_ratio_importance(case, control)
-    got = {r["umls_name"]: (r["freq_ipf"], r["freq_ctrl"], r["importance_score"]) for r in imp.collect()}
+    got = {r["umls_name"]: (r["freq_case"], r["freq_ctrl"], r["importance_score"]) for r in imp.collect()}
     assert got == {"a": (2, 0, pytest.approx(math.log2(7 / 5))), "b": (0, 1, pytest.approx(math.log2(5 / 6)))}
     weights = w.patient_weights(case, imp)
     assert {r["person_id"]: r["umls_weight"] for r in weights.collect()}[1] == pytest.approx(math.log2(7 / 5) * math.log(3), abs=1e-8)
@@ -146,7 +146,7 @@ def test_counts_and_density(spark):
 def test_demographics(spark):
     d = dt.date(2024, 1, 1)
     pairs = spark.createDataFrame([(1, 2, d, d, "F", "A", 50.0, 60.0), (1, 3, d, d, "F", "A", 50.0, 70.0)],
-        "case_id long, control_id long, case_dx_date date, non_IPF_control_dx_date date, gender string, race string, case_onset_age double, control_onset_age double")
+        "case_id long, control_id long, case_dx_date date, control_dx_date date, gender string, race string, case_onset_age double, control_onset_age double")
     got = {(r["group"], r["attribute"], r["value"]): r["measure"] for r in c.demographics(c.person_table(pairs)).collect()}
     assert got[("case", "gender", "F")] == 1.0 and got[("control", "onset_age", "mean")] == 65.0 and got[("case", "onset_age", "std")] is None
 
