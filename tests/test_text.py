@@ -66,6 +66,26 @@ def test_extract_sections_dialects(spark):
     assert not any(k[0] == "e" for k in got)
 
 
+def test_extract_sections_loses_no_text(spark):
+    long = "A title of many letters " * 8
+    texts = [
+        ("colon", "## 1. Genetics: causes?\nfirst\n## 2. " + long + "\nsecond"),
+        ("list", "## 1. Plan\n1. Assess the patient\n2. Treat\n## 2. Next\n1. Assess\n2. Treat"),
+        ("control", "## 1. One\na\u001eb\u001fc\n## 2. Two\nx"),
+        ("bare", "1 One\na\n1 Again\nb\n2 Two: more\n3 It ends. So no title\nc"),
+        ("empty", ""), ("none", None),
+    ]
+    rows = readability.extract_sections(spark.createDataFrame(texts, "disease string, summary string")).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r["disease"], []).append((r["section_no"], r["title"], r["body"]))
+    assert got["colon"] == [(1, "Genetics: causes?", "first"), (2, long.strip(), "second")]
+    assert got["list"] == [(1, "Plan", "1. Assess the patient\n2. Treat"), (2, "Next", "1. Assess\n2. Treat")]
+    assert got["control"] == [(1, "One", "a\u001eb\u001fc"), (2, "Two", "x")]
+    assert got["bare"] == [(1, "One", "a\n1 Again\nb"), (2, "Two: more", "3 It ends. So no title\nc")]
+    assert got.keys() == {"colon", "list", "control", "bare"}
+
+
 DICTIONARY = [
     ("fever", "C1", "Fever", "Sign or Symptom"),
     ("high fever", "C2", "High fever", "Finding"),
