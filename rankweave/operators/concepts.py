@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankweave.functions.spans import sentence_spans
+from rankweave.functions.spans import DOC, sentence_spans, with_chunks, word_grams
 from rankweave.functions.text import NEGATIONS, is_negated, split_trim
 from rankweave.operators.vocabulary import (
     BLOCKED_NAMES,
@@ -239,42 +239,27 @@ def tag_concepts(
     dictionary: DataFrame,
     keys: Sequence[str] = ("model", "disease"),
     text_col: str = "text",
-    max_ngram: int = 3,
     max_tokens: int = 512,
-    with_sentence: bool = True,
 ) -> DataFrame:
     """Every dictionary concept found in every text, with chunk, span and sentence.
 
-    ``dictionary``: term (lower-case words separated by one blank), CUI, UMLS_name, semantic_type_name; one row per
-    (term, CUI).  A term matches a run of words inside one sentence; an exact match has similarity 1.0.
+    ``dictionary``: term (lower-case words of letters and digits, separated by one blank), CUI, UMLS_name,
+    semantic_type_name; one row per (term, CUI).  A term matches a run of words inside one sentence with nothing but
+    blanks or hyphens between them; an exact match has similarity 1.0.  Runs are as long as the dictionary's longest
+    term.  Texts with equal keys are documents of their own.
 
-    Only n-gram spans travel through the dictionary join; Spark's adaptive execution broadcasts the dictionary
-    when its measured size allows it and splits hot words otherwise.  The sentence is attached afterwards, to the
-    matches only.
+    Only spans travel through the dictionary join; Spark's adaptive execution broadcasts the dictionary when its
+    measured size allows it and splits hot words otherwise.
     """
     keys = list(keys)
-    spans = sentence_spans(docs, keys, text_col, max_tokens, max_ngram)
-    grams = spans.select(*keys, "chunk_index", "sentence_no", F.explode("grams").alias("g")).select(
-        *keys,
-        "chunk_index",
-        "sentence_no",
-        F.col("g.gram").alias("term"),
-        F.col("g.first").alias("start_char"),
-        F.col("g.last").alias("end_char"),
-    )
-    found = grams.join(dictionary, "term").withColumn("similarity", F.lit(1.0))
-    if not with_sentence:
-        return found.withColumnRenamed("term", "matched_text")
-    sentences = spans.select(*keys, "sentence_no", "sentence_start", "sentence_end", "sentence")
+    spans = with_chunks(sentence_spans(docs, keys, text_col), max_tokens)
+    longest = dictionary.agg(F.coalesce(F.max(F.size(F.split("term", " "))), F.lit(1))).scalar()
+    found = word_grams(spans, longest).join(dictionary, "term").drop("term")
+    matched = F.col("sentence").substr(F.col("start_char") - F.col("sentence_start") + 1, F.col("end_char") - F.col("start_char"))
     return (
-        found.drop("term")
-        .join(sentences, [*keys, "sentence_no"])
-        .withColumn(
-            "matched_text",
-            F.col("sentence").substr(
-                F.col("start_char") - F.col("sentence_start") + 1, F.col("end_char") - F.col("start_char")
-            ),
-        )
+        found.join(spans.drop("n_tokens"), [DOC, "sentence_no"])
+        .withColumns({"similarity": F.lit(1.0), "matched_text": matched})
+        .drop(DOC)
     )
 
 
@@ -283,17 +268,17 @@ def chunk_sentences(
 ) -> DataFrame:
     """Greedy packing of sentences into chunks of at most ``max_tokens`` words, with character offsets.
 
-    A sentence longer than the limit is a chunk of its own.  Offsets refer to the original text.
+    A sentence longer than the limit is a chunk of its own.  Offsets refer to the original text.  Texts with equal keys
+    are packed apart.
     """
     keys = list(keys)
-    spans = sentence_spans(docs, keys, text_col, max_tokens)
-    bounds = spans.groupBy(*keys, "chunk_index").agg(
+    spans = with_chunks(sentence_spans(docs, keys, text_col), max_tokens)
+    return spans.groupBy(DOC, *keys, "chunk_index").agg(
         F.min("sentence_start").alias("start_char"),
         F.max("sentence_end").alias("end_char"),
         F.count("*").alias("n_sentences"),
         F.sum("n_tokens").alias("n_tokens"),
-    )
-    return bounds
+    ).drop(DOC)
 
 
 def chunk_texts(docs: DataFrame, chunks: DataFrame, keys: Sequence[str], text_col: str = "text") -> DataFrame:

@@ -73,14 +73,30 @@ CTES: dict[str, str] = {
     "terms": """SELECT DISTINCT term FROM (SELECT unnest(ws) AS term FROM bench_words
         UNION ALL SELECT ws[i] || ' ' || ws[i + 1] FROM (SELECT ws, unnest(range(1, len(ws))) AS i FROM bench_words))""",
     "pieces": r"""SELECT doc_id, lang, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i
-        FROM (SELECT doc_id, lang, regexp_extract_all(lower(text), '\p{L}+|[^\p{L}]+') AS ps FROM documents)""",
-    "spans": r"""SELECT doc_id, lang, i, piece, regexp_matches(piece, '^\p{L}') AS is_word,
+        FROM (SELECT doc_id, lang, regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}]+') AS ps FROM documents)""",
+    "spans": r"""SELECT doc_id, lang, i, piece, regexp_matches(piece, '^[\p{L}\p{N}]') AS is_word,
         CAST(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS e,
-        sum(CASE WHEN regexp_matches(piece, '[.!?\n]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM pieces""",
+        sum(CASE WHEN regexp_matches(piece, '[.!?\n]') OR NOT (regexp_matches(piece, '^[\p{L}\p{N}]') OR regexp_matches(piece, '^[\s-]+$'))
+        THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM pieces""",
+    "raw_sentences": r"""SELECT doc_id, i, raw, CAST(sum(length(raw)) OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) - length(raw) AS pos
+        FROM (SELECT doc_id, unnest(ps) AS raw, generate_subscripts(ps, 1) AS i
+        FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?\n]*[.!?\n]+|[^.!?\n]+') AS ps FROM documents))""",
+    "sentence_rows": r"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS sentence_no, sentence,
+        CAST(pos + length(raw) - length(regexp_replace(raw, '^\s+', '')) AS INTEGER) AS sentence_start,
+        CAST(pos + length(raw) - length(regexp_replace(raw, '^\s+', '')) + length(sentence) AS INTEGER) AS sentence_end,
+        len(regexp_split_to_array(sentence, '\s+')) AS n_tokens
+        FROM (SELECT *, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS sentence FROM raw_sentences) WHERE sentence <> ''""",
+    "packed": """SELECT doc_id, list_reduce(list_prepend({'used': 0, 'firsts': []::INTEGER[], 'no': -1, 'n': 0},
+          list({'used': 0, 'firsts': []::INTEGER[], 'no': sentence_no, 'n': CAST(n_tokens AS INTEGER)} ORDER BY sentence_no)),
+        lambda a, s: CASE WHEN a.used > 0 AND a.used + s.n > 512
+          THEN {'used': s.n, 'firsts': list_append(a.firsts, s.no), 'no': s.no, 'n': s.n}
+          ELSE {'used': a.used + s.n, 'firsts': a.firsts, 'no': s.no, 'n': s.n} END).firsts AS firsts FROM sentence_rows GROUP BY doc_id""",
+    "chunked": """SELECT *, CAST(len(list_filter(firsts, lambda f: f <= sentence_no)) AS INTEGER) AS chunk_index
+        FROM sentence_rows JOIN packed USING (doc_id)""",
     "tokens": """SELECT *, lead(piece) OVER (PARTITION BY doc_id, s ORDER BY i) AS next_piece,
         lead(e) OVER (PARTITION BY doc_id, s ORDER BY i) AS next_e FROM spans WHERE is_word""",
-    "grams": """SELECT doc_id, lang, piece AS term, CAST(e - length(piece) AS INTEGER) AS start_char, e AS end_char FROM tokens
-        UNION ALL SELECT doc_id, lang, piece || ' ' || next_piece, CAST(e - length(piece) AS INTEGER), next_e FROM tokens
+    "grams": """SELECT doc_id, lang, lower(piece) AS term, CAST(e - length(piece) AS INTEGER) AS start_char, e AS end_char FROM tokens
+        UNION ALL SELECT doc_id, lang, lower(piece || ' ' || next_piece), CAST(e - length(piece) AS INTEGER), next_e FROM tokens
         WHERE next_piece IS NOT NULL""",
     "last_turn": "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id",
     "sections": """SELECT disease_name, max(a) AS clinical_presentation_section, max(b) AS diagnostic_evaluation_section,

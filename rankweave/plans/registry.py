@@ -191,26 +191,36 @@ def extract_sections(spark, sf):
     return readability.extract_sections(b.summaries(spark, sf))
 
 
-@query(
-    "K13",
-    """SELECT lang AS model, CAST(doc_id AS VARCHAR) AS disease, term AS matched_text, 'C_' || replace(term, ' ', '_') AS CUI,
-    CASE WHEN contains(term, ' ') THEN 'Finding' ELSE 'Sign or Symptom' END AS semantic_type_name, start_char, end_char,
-    CAST(1 AS DOUBLE) AS similarity FROM grams JOIN terms USING (term)""",
-)
+_TAGGED = """lang AS model, CAST(g.doc_id AS VARCHAR) AS disease, 'C_' || replace(g.term, ' ', '_') AS CUI,
+    CASE WHEN contains(g.term, ' ') THEN 'Finding' ELSE 'Sign or Symptom' END AS semantic_type_name, start_char, end_char,
+    CAST(1 AS DOUBLE) AS similarity"""
+_TAG_COLUMNS = ("model", "disease", "CUI", "semantic_type_name", "start_char", "end_char", "similarity")
+
+
+@query("K13", f"SELECT {_TAGGED}, g.term AS matched_text FROM grams g JOIN terms USING (term)")
 def tag_concepts(spark, sf):
-    tagged = concepts.tag_concepts(b.docs(spark, sf), b.dictionary(spark, sf), max_ngram=2, with_sentence=False)
-    # SQL sees n-grams across other marks inside a sentence as one blank; so does the dictionary term
-    return tagged.select(
-        "model", "disease", "matched_text", "CUI", "semantic_type_name", "start_char", "end_char", "similarity"
-    )
+    tagged = concepts.tag_concepts(b.docs(spark, sf), b.dictionary(spark, sf))
+    term = F.regexp_replace(F.lower("matched_text"), r"[\s-]+", " ").alias("matched_text")
+    return tagged.select(*_TAG_COLUMNS, term)
 
 
-@query("K13")
+@query(
+    "K13",
+    f"""SELECT {_TAGGED}, substr(sentence, start_char - sentence_start + 1, end_char - start_char) AS matched_text,
+    g.term AS UMLS_name, s.sentence_no, s.sentence_start, s.sentence_end, s.sentence, s.chunk_index FROM grams g JOIN terms USING (term)
+    JOIN chunked s ON s.doc_id = g.doc_id AND g.start_char >= s.sentence_start AND g.start_char < s.sentence_end""",
+)
 def tag_concepts_with_sentence(spark, sf):
-    return concepts.tag_concepts(b.docs(spark, sf), b.dictionary(spark, sf), max_ngram=2)
+    return concepts.tag_concepts(b.docs(spark, sf), b.dictionary(spark, sf)).select(
+        *_TAG_COLUMNS, "matched_text", "UMLS_name", "sentence_no", "sentence_start", "sentence_end", "sentence", "chunk_index")
 
 
-@query("K14")
+@query(
+    "K14",
+    """SELECT lang AS model, CAST(doc_id AS VARCHAR) AS disease, chunk_index, min(sentence_start) AS start_char,
+    max(sentence_end) AS end_char, count(*) AS n_sentences, CAST(sum(n_tokens) AS BIGINT) AS n_tokens
+    FROM chunked JOIN documents USING (doc_id) GROUP BY doc_id, lang, chunk_index""",
+)
 def chunk_sentences(spark, sf):
     return concepts.chunk_sentences(b.docs(spark, sf), ["model", "disease"])
 

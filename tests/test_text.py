@@ -112,3 +112,23 @@ def test_chunk_sentences(spark):
     chunks = chunk_sentences(docs, ["disease"], max_tokens=5)
     got = [tuple(r) for r in chunk_texts(docs, chunks, ["disease"]).orderBy("chunk_index").select("chunk_index", "n_tokens", "chunk_text").collect()]
     assert got == [(0, 5, "a b c. d e."), (1, 7, "f g h i j k l."), (2, 1, "m.")]
+
+
+def test_tags_digits_hyphens_long_terms_and_letters(spark):
+    texts = [("a", "Type 2 diabetes and COVID-19."), ("b", "Acute on chronic heart failure"), ("c", "Heart, failure to thrive"),
+             ("d", "\u0130zmir Fever and Cough."), ("d", "fever")]
+    docs = spark.createDataFrame([("m", *t) for t in texts], "model string, disease string, text string")
+    terms = ["type 2 diabetes", "type diabetes", "covid 19", "acute on chronic heart failure", "heart failure", "fever", "cough"]
+    dictionary = spark.createDataFrame([(t, t, t, "Finding") for t in terms], "term string, CUI string, UMLS_name string, semantic_type_name string")
+    rows = tag_concepts(docs, dictionary).collect()
+    got = sorted((r["disease"], r["CUI"], r["matched_text"]) for r in rows)
+    assert got == [
+        ("a", "covid 19", "COVID-19"), ("a", "type 2 diabetes", "Type 2 diabetes"),
+        ("b", "acute on chronic heart failure", "Acute on chronic heart failure"), ("b", "heart failure", "heart failure"),
+        ("d", "cough", "Cough"), ("d", "fever", "Fever"), ("d", "fever", "fever")]
+
+
+def test_chunks_of_texts_with_one_key_stay_apart(spark):
+    docs = spark.createDataFrame([("d", "a b. c d."), ("d", "e f g.")], "disease string, text string")
+    got = sorted((r["start_char"], r["end_char"], r["n_tokens"]) for r in chunk_sentences(docs, ["disease"], max_tokens=9).collect())
+    assert got == [(0, 6, 3), (0, 9, 4)]
