@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.session import staging_dir
+from rankweave.session import remember_staged, staging_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,7 +49,7 @@ class Scratch:
     """Tables that one operator call writes below the shared folder (``spark.checkpoint.dir``) and reads again.
 
     A stored table cuts the lineage: what comes later reads files and survives lost executors.  ``drop`` removes a
-    table as soon as a later one replaces it.
+    table as soon as a later one replaces it; ``rankweave.session.drop_staged`` removes the others.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -60,7 +60,7 @@ class Scratch:
     def path(self) -> str:
         """Place of a new table."""
         self.count += 1
-        return f"{self.root}/{self.count}"
+        return remember_staged(f"{self.root}/{self.count}")
 
     def store(self, df: DataFrame) -> DataFrame:
         path = self.path()
