@@ -211,7 +211,8 @@ SECTION_COLUMNS = (
 def assemble_sections(*tables: DataFrame, columns: Sequence[str] = SECTION_COLUMNS) -> DataFrame:
     """Full outer join of section tables on ``disease_name``, done as one union and one aggregate.
 
-    Table i holds ``disease_name`` and column i, one row per disease.
+    Table i holds ``disease_name`` and column i.  Where a table has several different sections of a disease, all are
+    kept, one after the other in sorted order.
     """
     parts = None
     for table, own in zip(tables, columns, strict=True):
@@ -220,7 +221,9 @@ def assemble_sections(*tables: DataFrame, columns: Sequence[str] = SECTION_COLUM
             *[(F.col(c) if c == own else F.lit(None).cast("string")).alias(c) for c in columns],
         )
         parts = part if parts is None else parts.unionByName(part)
-    return parts.groupBy("disease_name").agg(*[F.max(c).alias(c) for c in columns])
+    found = lambda c: F.array_sort(F.collect_set(c))
+    return parts.groupBy("disease_name").agg(
+        *[F.when(F.size(found(c)) > 0, F.array_join(found(c), "\n")).alias(c) for c in columns])
 
 
 def build_document(sections: DataFrame, columns: Sequence[str] = SECTION_COLUMNS) -> DataFrame:

@@ -48,6 +48,12 @@ def staging_dir(spark: SparkSession) -> str:
 _staged: list[str] = []
 
 
+def remember_staged(path: str) -> str:
+    """Have :func:`drop_staged` remove this path too."""
+    _staged.append(path)
+    return path
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write an intermediate result once, as an explicit step, and go on from the stored table.
 
@@ -55,14 +61,13 @@ def stage(df: DataFrame) -> DataFrame:
     the columns they need, and Spark plans their joins with the real size.  ``drop_staged`` removes the tables.
     """
     spark = df.sparkSession
-    path = f"{staging_dir(spark)}/rankweave/{uuid.uuid4().hex}"
+    path = remember_staged(f"{staging_dir(spark)}/rankweave/{uuid.uuid4().hex}")
     df.write.parquet(path)
-    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_staged(spark: SparkSession) -> None:
-    """Delete every table that :func:`stage` has written; to be called when the results that read them are done."""
+    """Delete every table stored on the way; to be called when the results that read them are done."""
     while _staged:
         path = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
