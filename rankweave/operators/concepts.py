@@ -60,16 +60,20 @@ def names_per_type(mentions: DataFrame) -> DataFrame:
 
 
 def context_filter(
-    notes: DataFrame, concepts: DataFrame, flags: Sequence[str] = EXCLUDED_CONTEXTS, keep_null: bool = False
+    notes: DataFrame, concepts: DataFrame, flags: Sequence[str] = EXCLUDED_CONTEXTS, keep_null: bool = False,
+    once: Sequence[str] = (),
 ) -> DataFrame:
     """Note mentions in a usable context whose concept belongs to a model's set, for all models at once.
 
-    A null context is dropped unless ``keep_null``.
+    A null context is dropped unless ``keep_null``.  With ``once`` only these columns and one row for each combination
+    are kept, before the concept sets of all models multiply the rows.
     """
     pattern = "(" + "|".join(flags) + ")"
     usable = ~F.col("context_flag").rlike(pattern)
     usable = F.coalesce(usable, F.lit(True)) if keep_null else usable
-    return notes.filter(usable).join(concepts.select("model", "CUI").distinct(), "CUI")
+    kept = notes.filter(usable)
+    kept = kept.select(*once).distinct() if once else kept
+    return kept.join(concepts.select("model", "CUI").distinct(), "CUI")
 
 
 def _kept_types(mentions: DataFrame, min_sim: float) -> DataFrame:

@@ -929,8 +929,8 @@ def person_features(spark, sf):
     return weekly.person_features(_features(spark, sf))
 
 
-def _grouped_notes(spark, sf):
-    kept = concepts.context_filter(b.notes(spark, sf), b.model_concepts(spark, sf))
+def _grouped_notes(spark, sf, once=()):
+    kept = concepts.context_filter(b.notes(spark, sf), b.model_concepts(spark, sf), once=once)
     return kept.join(b.persons(spark, sf).select("person_id", "group"), "person_id")
 
 
@@ -938,9 +938,12 @@ COUNTS_SQL = """SELECT model, "group", count(DISTINCT (note_id, CUI)) AS total_c
     count(DISTINCT note_id) AS total_notes FROM group_context GROUP BY ALL"""
 
 
+NOTE_PAIR = ("person_id", "note_id", "CUI")
+
+
 @query("T10", COUNTS_SQL)
 def cohort_counts(spark, sf):
-    return cohort.cohort_counts(_grouped_notes(spark, sf))
+    return cohort.cohort_counts(_grouped_notes(spark, sf, NOTE_PAIR))
 
 
 def _case_control_sql() -> str:
@@ -957,7 +960,7 @@ def _case_control_sql() -> str:
 
 @query("T10", _case_control_sql())
 def case_control_table(spark, sf):
-    return cohort.case_control_table(cohort.cohort_counts(_grouped_notes(spark, sf)))
+    return cohort.case_control_table(cohort.cohort_counts(_grouped_notes(spark, sf, NOTE_PAIR)))
 
 
 @query(
