@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from rankweave.session import remember_staged, staging_dir
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -54,6 +57,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        if spark.conf.get(BATCH) == "10000":  # Spark's default: ten thousand whole texts at once in a Python worker
+            spark.conf.set(BATCH, "2000")
         self.root = f"{staging_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
 

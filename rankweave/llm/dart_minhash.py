@@ -29,7 +29,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 40, 6  # a pair at 0.8 misses all bands with probability (1 - 0.8**6)**40 = 5e-6
 SLACK = 5  # standard deviations that a signature may fall below the threshold before the exact check
 BLOCK = 1024
-CACHED_WORDS = 500_000
+CACHED_WORDS = 100_000  # in a Python worker, about 15 MB
 DARTS_AT_ONCE = 250_000  # shingles and darts of a group of texts that throw together
 
 _WORD = re.compile(r"\w+")

@@ -14,7 +14,7 @@ import unicodedata
 
 import numpy as np
 
-CACHED_WORDS = 150_000  # in each of two generations, together about 60 MB a Python worker
+CACHED_WORDS = 80_000  # in each of two generations, together about 32 MB a Python worker
 LONGEST_CACHED = 64
 
 # The normaliser and the split that the plain way stands for.
