@@ -25,6 +25,7 @@ CELL = 4096  # vectors for which a label gets one more pivot
 MOST_PIVOTS = 4096  # of all labels together, so that every task can hold them; beyond it cells grow and are cut into more blocks
 BLOCK = 1024
 DOUBT = 1e-9  # cosines so close to the threshold are computed again in the plain way
+BLUR = 1e-7  # a distance near 0 is the root of a difference of cosines, so it is computed with about 3e-8 of error
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -105,11 +106,11 @@ def _pivots(nodes: DataFrame, cell: int, most: int) -> dict:
 
 
 def _housed(nodes: DataFrame, pivots: dict) -> DataFrame:
-    """Adds each vector's home cell and its distance to that pivot."""
+    """Adds each vector's home cell and its distance to that pivot; -1 in labels without pivots."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            frame = frame.assign(cell=0, distance=0.0)
+            frame = frame.assign(cell=0, distance=-1.0)
             for key, rows in frame.groupby(["label", "dims"]).groups.items():
                 if key in pivots:
                     d = _distances(_matrix(frame.loc[rows, "v"]), pivots[key])
@@ -130,7 +131,7 @@ def _visits(housed: DataFrame, pivots: dict, radii: dict, reach: float) -> DataF
                     own, near = frame.loc[rows, "cell"].to_numpy(), frame.loc[rows, "distance"].to_numpy()
                     d = _distances(_matrix(frame.loc[rows, "v"]), pivots[key])
                     radius = np.array([radii.get((*key, q), -np.inf) for q in range(d.shape[1])])
-                    may = (d <= near[:, None] + 2 * reach + 1e-9) & (d <= radius + reach + 1e-9) & (np.arange(d.shape[1]) < own[:, None])
+                    may = (d <= near[:, None] + 2 * reach + BLUR) & (d <= radius + reach + BLUR) & (np.arange(d.shape[1]) < own[:, None])
                     which, cell = np.nonzero(may)
                     yield frame.loc[rows].iloc[which].assign(cell=cell, home=False)
 
@@ -161,7 +162,7 @@ def link_vectors(
     slim = nodes.select("label", "dims", "node", "copies", packed("v").alias("v"))
     pivots = _pivots(slim, cell, most_pivots)
     housed = scratch.store(_housed(slim, pivots))
-    radii = {(r["label"], r["dims"], r["cell"]): r["r"] for r in housed.filter("distance > 0").groupBy("label", "dims", "cell").agg(
+    radii = {(r["label"], r["dims"], r["cell"]): r["r"] for r in housed.filter("distance >= 0").groupBy("label", "dims", "cell").agg(
         F.max("distance").alias("r")).collect()} if pivots else {}
     placed = _visits(housed, pivots, radii, float(np.sqrt(max(0.0, 2 - 2 * cosine))))
     keys = ["label", "dims", "cell"]

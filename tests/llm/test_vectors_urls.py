@@ -53,6 +53,18 @@ def test_links_equal_all_pairs(spark, vector_rows, cell, block):
     assert got == plain_links(vector_rows)
 
 
+def test_links_of_a_pivot_alone_in_its_cell(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for label in range(200):  # three near copies and a noisier one, of which two become pivots
+        base = rng.normal(size=16)
+        base /= np.linalg.norm(base)
+        rows += [(label * 4 + i, (base + rng.normal(size=16) * (0.05 if i == 0 else 0.005)).tolist(), label) for i in range(4)]
+    want = plain_links(rows)
+    assert sum(n for _, n, _, _ in want) > 2300
+    assert sorted(map(tuple, metric_join.link_vectors(spark.createDataFrame(rows, VECTORS), cell=2).collect())) == want
+
+
 def test_links_of_few(spark):
     assert metric_join.link_vectors(spark.createDataFrame([], VECTORS)).count() == 0
     got = metric_join.link_vectors(spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (None, [0.0, 1.0], 1)], VECTORS)).collect()
