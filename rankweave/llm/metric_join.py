@@ -93,15 +93,19 @@ def _pivots(nodes: DataFrame, cell: int, most: int) -> dict:
     wanted = {k: -(-n // cell) for k, n in counts.items() if n > cell}
     if not wanted:
         return {}
-    rate = min(1.0, 8 / cell)  # about eight candidates for a pivot; the first by a hash are taken
+    asked = nodes.sparkSession.createDataFrame([(*k, n) for k, n in wanted.items()], StructType([
+        nodes.schema["label"], nodes.schema["dims"], StructField("wanted", IntegerType())]))
+    rate = min(1.0, 8 / cell)  # about eight candidates for a pivot; the first by a hash are taken, without their vectors
     draw = F.pmod(F.xxhash64("node", F.lit(5)), F.lit(1 << 30))
-    drawn = nodes.filter(draw < int(rate * (1 << 30)) + 1).select("label", "dims", "v", draw.alias("draw")).collect()
+    likely = nodes.withColumn("draw", draw).filter(F.col("draw") < int(rate * (1 << 30)) + 1)
+    taken = likely.join(F.broadcast(asked), ["label", "dims"]).groupBy("label", "dims").agg(
+        F.array_sort(F.collect_list(F.struct("draw", "node"))).alias("c"), F.first("wanted").alias("wanted")).select(
+        F.explode(F.slice("c", F.lit(1), F.col("wanted"))["node"]).alias("node"))
+    drawn = likely.join(taken, "node", "left_semi").select("label", "dims", "v", "draw", "node").collect()
     out: dict = {}
-    for r in sorted(drawn, key=lambda r: r["draw"]):
-        key = (r["label"], r["dims"])
-        if len(out.setdefault(key, [])) < wanted.get(key, 0):
-            v = np.frombuffer(r["v"], np.float64)
-            out[key].append(v / np.sqrt((v * v).sum()))
+    for r in sorted(drawn, key=lambda r: (r["draw"], r["node"])):
+        v = np.frombuffer(r["v"], np.float64)
+        out.setdefault((r["label"], r["dims"]), []).append(v / np.sqrt((v * v).sum()))
     return {k: np.stack(v) for k, v in out.items() if len(v) > 1}
 
 

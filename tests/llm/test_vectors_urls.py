@@ -65,6 +65,17 @@ def test_links_of_a_pivot_alone_in_its_cell(spark):
     assert sorted(map(tuple, metric_join.link_vectors(spark.createDataFrame(rows, VECTORS), cell=2).collect())) == want
 
 
+def test_only_pivots_reach_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(0, i, rng.normal(size=4).tobytes()) for i in range(60)] + [(1 + i // 3, 60 + i, rng.normal(size=4).tobytes()) for i in range(900)]
+    nodes = spark.createDataFrame([(label, 4, node, v) for label, node, v in rows], "label int, dims int, node long, v binary")
+    sizes, collect = [], type(nodes).collect
+    monkeypatch.setattr(type(nodes), "collect", lambda df: sizes.append(len(out := collect(df))) or out)
+    pivots = metric_join._pivots(nodes, 10, 100)
+    assert {k: len(v) for k, v in pivots.items()} == {(0, 4): 6}
+    assert max(sizes) == 6
+
+
 def test_links_of_few(spark):
     assert metric_join.link_vectors(spark.createDataFrame([], VECTORS)).count() == 0
     got = metric_join.link_vectors(spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (None, [0.0, 1.0], 1)], VECTORS)).collect()
