@@ -3,7 +3,8 @@
 The pre-tokeniser reads from left to right and never looks back, so two runs that share one boundary share all later
 ones.  Chunk i runs from its own first character and into the next chunk's; the first boundary that it shares with its
 left neighbour in their overlap is a boundary of the whole text.  Between two such points a piece is encoded on
-its own.  A text with an overlap without a shared boundary (one pre-token fills it) is encoded in one piece.
+its own.  A piece never ends in white space, where the pattern looks ahead at what follows the run.  A text with an
+overlap without such a boundary (one pre-token or white space fills it) is encoded in one piece.
 """
 
 from __future__ import annotations
@@ -69,11 +70,11 @@ def decode_column(ids: Column, ranks_path: str) -> Column:
 
 
 def boundaries(text: str, pattern: str, start: int, complete: bool) -> list[int]:
-    """Ends of the pre-tokens of a chunk as positions of the whole text, only those that more text cannot move."""
+    """Ends of the pre-tokens of a chunk as positions of the whole text, only those that neither more text nor a cut can move."""
     import regex
 
     last = len(text) - (0 if complete else MARGIN)
-    return [start + m.end() for m in regex.finditer(pattern, text) if m.end() <= last]
+    return [start + m.end() for m in regex.finditer(pattern, text) if m.end() <= last and not text[m.end() - 1].isspace()]
 
 
 def _chunked(docs: DataFrame, chunk: int, overlap: int, pattern: str) -> DataFrame:

@@ -80,6 +80,16 @@ def test_shared_boundaries_are_boundaries_of_the_text(text):
     assert not shared or {p for p in right if p >= shared[0]} == {p for p in ends if p >= shared[0]}
 
 
+def test_pieces_of_white_space_equal_tiktoken(spark, tiny):
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe._ranks(RANKS), special_tokens={})
+    rng = np.random.default_rng(6)
+    parts = ["\n", "\n\n", "\n\n\n", "\t", "\t\t", " ", "  \n", "a", "word", "42", "7", "'s", "."]
+    rows = [(i, "x" * i + "\n\nb" * 60) for i in range(64)]  # a blank line at every offset of a chunk
+    rows += [(100 + i, "".join(rng.choice(parts, 150))) for i in range(200)] + [(400, "a" + "\n" * 200 + "b")]
+    got = byte_bpe.encode(tiny(rows), RANKS, public_tokenizers.PATTERN, chunk=64, overlap=24).collect()
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in got} == {i: own.encode_ordinary(t) for i, t in rows}
+
+
 def check_pieces(rows, ids_of, capacity):
     """Each id in exactly one piece, sequences gapless and full or of a power of two."""
     by_doc, by_sequence = {}, {}
