@@ -120,8 +120,8 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, _rh, print, weight, bands, sketch): one row per document.  print: hash of the words in order; sketch: one
-    byte of each coordinate."""
+    """(doc_id, _rh, print, weight, bands, sketch): one row per document.  print: hash of the words in order, or of
+    the stripped text if it has none; sketch: one byte of each coordinate."""
     from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
     schema = StructType([
@@ -141,8 +141,9 @@ def _sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
             while at < len(frame):
                 sets, prints, load = [], [], 0
                 while at + len(sets) < len(frame) and load < DARTS_AT_ONCE:
-                    words = words_of(frame["text"].iat[at + len(sets)])
-                    prints.append(xxhash.xxh3_128_digest(" ".join(words)))
+                    text = frame["text"].iat[at + len(sets)]
+                    words = words_of(text)
+                    prints.append(xxhash.xxh3_128_digest(" ".join(words) or text.strip()))
                     sets.append(weighted_shingles(words, size))
                     load += len(words) + darts
                 full = [i for i, s in enumerate(sets) if len(s[0])]
@@ -229,8 +230,8 @@ def near_duplicates(
 ) -> DataFrame:
     """(doc_id, _rh, class_id, kept): one row per document; class_id is the smallest doc_id of its class, kept the one row of it.
 
-    Words are runs of word characters in lower case.  Texts with the same words in the same order are one node; texts
-    without words are one class.  Classes are the connected components of links at ``similar`` or more.  A null doc_id
+    Words are runs of word characters in lower case.  Texts with the same words in the same order are one node; of
+    texts without words only those equal but for white space at their ends are.  Classes are the connected components of links at ``similar`` or more.  A null doc_id
     counts as larger than any other; of rows with equal doc_id and text in a class's first place one is kept.
     """
     docs = id_and_text(docs, id_col, text_col).withColumn("_rh", row_hash(F.col("text")))

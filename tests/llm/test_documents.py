@@ -226,6 +226,13 @@ def test_one_of_each_class_stays(spark, tiny, odd):
     assert dart_minhash.keep_one(tiny([])).count() == 0
 
 
+def test_texts_of_symbols_are_copies_only_if_equal(spark, tiny):
+    rows = [(1, "-----"), (2, "*** ***"), (3, " -----\n"), (4, "\U0001f600 \U0001f680"), (5, ""), (6, None), (7, " \n"), (8, "A word!"), (9, "a WORD")]
+    got = dart_minhash.near_duplicates(tiny(rows)).collect()
+    assert {r.doc_id: r.class_id for r in got} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5, 6: 5, 7: 5, 8: 8, 9: 8}
+    assert sorted(r.doc_id for r in dart_minhash.keep_one(tiny(rows)).collect()) == [1, 2, 4, 5, 8]
+
+
 # ---- pipeline ---------------------------------------------------------------------------------------------------
 
 
