@@ -1,9 +1,10 @@
 """Harmonic packing of documents into sequences of a fixed capacity.
 
-Lengths fall into the reciprocal-capacity classes C, C/2, C/4, ... down to the grain; a document is cut into at most one
-piece of each class below C, besides its pieces of length C, and a tail shorter than the grain.  A bin of class C/k takes
-exactly k pieces.  The tails are the last class, which is filled next-fit, cutting at the end of a sequence.  What a task
-has left at its end is closed in sequences whose lengths are powers of two, so no sequence needs padding.
+A document of a length in (C/(k+1), C/k] is of class k and goes whole into the bin of its class, which takes k of them;
+lengths up to the grain are the last class, filled next-fit.  Only what closes the room that a bin then has left is cut:
+the next documents go there, and the rest of the one that does not fit is packed by its own length.  A document longer than C
+gives pieces of C first.  What a task has left at its end is closed in sequences whose lengths are powers of two, so no sequence
+needs padding.
 """
 
 from __future__ import annotations
@@ -31,13 +32,10 @@ class Packer:
         if capacity & (capacity - 1) or grain & (grain - 1) or not 0 < grain <= capacity:
             raise ValueError("capacity and grain must be powers of two, grain at most the capacity")
         self.capacity, self.next_sequence = capacity, first_sequence
-        self.sizes = []
-        size = capacity
-        while size >= grain:
-            self.sizes.append(size)
-            size //= 2
-        self.open = {s: [] for s in self.sizes}
-        self.tail, self.tail_fill = [], 0
+        self.last = capacity // grain
+        self.open = {k: [] for k in range(1, self.last + 1)}
+        self.tail = 0  # ids in the bin of the last class
+        self.closing, self.room = [], 0  # the bin that has its documents, and what it has left
         self.placed = []
 
     def _close(self, pieces) -> None:
@@ -47,47 +45,59 @@ class Packer:
             offset += len(ids)
         self.next_sequence += 1
 
+    def _fill(self, k: int) -> None:
+        """Closes the bin of class k, or leaves its room to what comes next."""
+        bin_, self.open[k] = self.open[k], []
+        room = self.capacity - sum(len(p[2]) for p in bin_)
+        if room:
+            self.closing, self.room = bin_, room
+        else:
+            self._close(bin_)
+
+    def _put(self, doc_id, start: int, ids: np.ndarray, total: int) -> None:
+        while len(ids):
+            if self.room:
+                now = ids[:self.room]
+                self.closing.append((doc_id, start, now, total))
+                start, ids, self.room = start + len(now), ids[len(now):], self.room - len(now)
+                if not self.room:
+                    self._close(self.closing)
+                    self.closing = []
+                continue
+            k = min(self.capacity // len(ids), self.last)
+            if k == self.last:
+                if self.tail + len(ids) > self.capacity:
+                    self._fill(k)
+                    self.tail = 0
+                self.tail += len(ids)
+            self.open[k].append((doc_id, start, ids, total))
+            if k < self.last and len(self.open[k]) == k:
+                self._fill(k)
+            return
+
     def add(self, doc_id, ids: np.ndarray) -> None:
         total, at = len(ids), 0
-        for size in self.sizes:
-            while total - at >= size:
-                bin_ = self.open[size]
-                bin_.append((doc_id, at, ids[at:at + size], total))
-                at += size
-                if len(bin_) == self.capacity // size:
-                    self._close(bin_)
-                    self.open[size] = []
-        while at < total:
-            take = min(total - at, self.capacity - self.tail_fill)
-            self.tail.append((doc_id, at, ids[at:at + take], total))
-            self.tail_fill += take
-            at += take
-            if self.tail_fill == self.capacity:
-                self._close(self.tail)
-                self.tail, self.tail_fill = [], 0
+        while total - at >= self.capacity:
+            self._close([(doc_id, at, ids[at:at + self.capacity], total)])
+            at += self.capacity
+        self._put(doc_id, at, ids[at:], total)
 
     def finish(self) -> None:
-        """Closes the bins that are not full: k pieces by the binary digits of k, the tails by those of their length."""
-        for size, bin_ in self.open.items():
-            count = self.capacity // size
-            while count:
-                if len(bin_) >= count:
-                    self._close(bin_[:count])
-                    bin_ = bin_[count:]
-                count //= 2
-        rest, size = self.tail, self.capacity
-        while size:
-            if sum(len(p[2]) for p in rest) >= size:
-                now, room, later = [], size, []
-                for doc_id, start, ids, total in rest:
-                    if room:
-                        now.append((doc_id, start, ids[:room], total))
-                    if len(ids) > room:
-                        later.append((doc_id, start + room, ids[room:], total))
-                    room = max(0, room - len(ids))
-                self._close(now)
-                rest = later
-            size //= 2
+        """Closes the bins that are not full: one after the other in full sequences, the rest by the binary digits of its length."""
+        rest = self.closing + [p for bin_ in self.open.values() for p in bin_]
+        left, size, now, room = sum(len(p[2]) for p in rest), self.capacity, [], 0
+        for doc_id, start, ids, total in rest:
+            while len(ids):
+                if not room:
+                    while size > left:
+                        size //= 2
+                    room = size
+                    left -= size
+                now.append((doc_id, start, ids[:room], total))
+                start, ids, room = start + len(now[-1][2]), ids[room:], room - len(now[-1][2])
+                if not room:
+                    self._close(now)
+                    now = []
 
     def take(self) -> list[tuple]:
         rows, self.placed = self.placed, []

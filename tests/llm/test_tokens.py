@@ -1,4 +1,6 @@
 import zlib
+from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -115,6 +117,30 @@ def test_packing_without_padding(spark, tiny):
     check_pieces(got, {i: [*library(t), 2] for i, t in rows}, 256)
 
 
+def test_documents_are_cut_only_to_close_a_sequence():
+    rng = np.random.default_rng(2)
+    lengths = {i: int(n) for i, n in enumerate(rng.integers(1, 257, 3000))} | {5000: 256, 5001: 1000}
+    packer = packing.Packer(256, 16, 0)
+    for i, n in lengths.items():
+        packer.add(i, np.arange(n, dtype="<u4"))
+    rows = [SimpleNamespace(**dict(zip(packing.COLUMNS, r))) for r in packer.take()]
+    for i, n in [(9000, 100), (9001, 90), (9002, 60), (9003, 6)]:
+        small = packing.Packer(256, 16, 0) if i == 9000 else small
+        small.add(i, np.arange(n, dtype="<u4"))
+    small.finish()
+    assert sorted((r[0], r[1], r[2]) for r in small.take()) == [(9000, 0, 100), (9001, 0, 90), (9002, 0, 60), (9003, 0, 6)]
+    pieces, sequences, cut = Counter(r.doc_id for r in rows), {r.sequence_id for r in rows}, set()
+    for r in rows:
+        if r.start + r.length < r.doc_tokens:
+            assert r.offset + r.length == 256 and r.sequence_id not in cut
+            cut.add(r.sequence_id)
+    assert max(n for i, n in pieces.items() if lengths[i] <= 256) == 2
+    assert sum(n - 1 for n in pieces.values()) <= len(sequences)
+    packer.finish()
+    rows += [SimpleNamespace(**dict(zip(packing.COLUMNS, r))) for r in packer.take()]
+    check_pieces(rows, {i: list(range(n)) for i, n in lengths.items()}, 256)
+
+
 def test_packing_odd_rows(spark, odd, tiny):
     got = packing.pack(odd, WORDS, 2).collect()
     assert sum(r.length for r in got) == sum(len(library(t)) + 1 for _, t in ODD)
