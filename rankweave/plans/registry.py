@@ -298,6 +298,11 @@ def bm25_match(spark, sf):
     return retrieval.bm25_match(retrieval.query_concepts(b.text_patients(spark, sf)), index)
 
 
+@query("R2", f"SELECT {Q}, disease, shared_cui_count, bm25_sum, rank FROM text_ranked")
+def bm25_match_pruned(spark, sf):
+    return bm25_match(spark, sf)
+
+
 @query(
     "R2",
     f"""SELECT {Q}, disease, shared_cui_count, bm25_sum, rank, num_true_classifications, final_classification_string

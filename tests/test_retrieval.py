@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankweave.operators import retrieval as r
+from rankweave.plans.registry import REGISTRY
 
 
 def mention_rows(rows):
@@ -110,3 +111,9 @@ def test_tfidf_and_slices(spark):
     assert got[("d1", "x")] == 0.0 and got[("d2", "y")] == pytest.approx(math.log(2))
     ranked = spark.createDataFrame([(i,) for i in range(1, 11)], "rank int")
     assert {x["k"]: x["count"] for x in r.topk_slices(ranked).groupBy("k").count().collect()} == {1: 1, 3: 3, 5: 5}
+
+
+def test_the_name_of_the_pruned_plan_stays(spark):
+    assert REGISTRY["bm25_match_pruned"].sql == REGISTRY["bm25_match"].sql
+    rows = [sorted(map(tuple, REGISTRY[n].plan(spark, "/root/testdata/sf0.001").collect())) for n in ("bm25_match", "bm25_match_pruned")]
+    assert rows[0] and rows[0] == rows[1]
