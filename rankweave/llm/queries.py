@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import byte_bpe, dart_minhash, hamming_index, line_dedup, metric_join, packing, quality, secret_scan, token_store, url_filter
+from rankweave.llm import (
+    byte_bpe, dart_minhash, hamming_index, importance, line_dedup, metric_join, packing, periodic_runs, quality, secret_scan, segment_search,
+    token_store, url_filter,
+)
 from rankweave.llm.common import Scratch, table
 
 END_ID = 2
@@ -82,6 +85,27 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(periodic_runs.loop_tails(table(spark, sf_dir, "documents")))
+    # The longest run, then the smallest start, then the smallest period; null where there is none.
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("step"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    start, length, period = -best["back"], best["length"], -best["step"]
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"), F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_links": op1_embedding_links,
     "op2_quality": op2_quality,
@@ -93,6 +117,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_store": op8_token_store,
     "op9_nearest": op9_nearest,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_importance": op11_importance,
+    "op12_top_products": op12_top_products,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 _HOST = f"translate(regexp_extract(rest, '^[^/?#]*'), '{url_filter.UPPER}', '{url_filter.LOWER}')"
@@ -138,4 +165,13 @@ best AS (
 SELECT k.page_id, k.host, k.path, b.rule,
   coalesce(b.action, CASE WHEN k.host <> '' AND l.key IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
 FROM keyed k LEFT JOIN best b ON k.host = b.host AND k.path = b.path LEFT JOIN listed l ON k.key = l.key""",
+    "op12_top_products": """
+WITH able AS (
+  SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(64 * x)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM able q JOIN able c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM scored)
+SELECT * FROM ranked WHERE rank <= 20""",
 }
