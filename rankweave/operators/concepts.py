@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankweave.functions.spans import DOC, sentence_spans, with_chunks, word_grams
+from rankweave.functions.spans import COPIES, DOC, each_copy, sentence_spans, with_chunks, word_grams, words_of_longest
 from rankweave.functions.text import NEGATIONS, is_negated, split_trim
 from rankweave.operators.vocabulary import (
     BLOCKED_NAMES,
@@ -247,27 +247,26 @@ def tag_concepts(
     keys: Sequence[str] = ("model", "disease"),
     text_col: str = "text",
     max_tokens: int = 512,
+    longest: int | None = None,
 ) -> DataFrame:
     """Every dictionary concept found in every text, with chunk, span and sentence.
 
     ``dictionary``: term (lower-case words of letters and digits, separated by one blank), CUI, UMLS_name,
     semantic_type_name; one row per (term, CUI).  A term matches a run of words inside one sentence with nothing but
-    blanks or hyphens between them; an exact match has similarity 1.0.  Runs are as long as the dictionary's longest
-    term.  Texts with equal keys are documents of their own.
+    blanks or hyphens between them; an exact match has similarity 1.0.  Runs have up to ``longest`` words, by default as
+    many as the dictionary's longest term, which a small job looks up.  Texts with equal keys are documents of their own.
 
-    Only spans travel through the dictionary join; Spark's adaptive execution broadcasts the dictionary when its
-    measured size allows it and splits hot words otherwise.
+    Words travel with their sentence, so one branch of the plan names the documents; Spark's adaptive execution
+    broadcasts the dictionary when its measured size allows it and splits hot words otherwise.
     """
-    keys = list(keys)
-    spans = with_chunks(sentence_spans(docs, keys, text_col), max_tokens)
-    longest = dictionary.agg(F.coalesce(F.max(F.size(F.split("term", " "))), F.lit(1))).scalar()
-    found = word_grams(spans, longest).join(dictionary, "term").drop("term")
-    matched = F.col("sentence").substr(F.col("start_char") - F.col("sentence_start") + 1, F.col("end_char") - F.col("start_char"))
-    return (
-        found.join(spans.drop("n_tokens"), [DOC, "sentence_no"])
-        .withColumns({"similarity": F.lit(1.0), "matched_text": matched})
-        .drop(DOC)
-    )
+    spans = with_chunks(sentence_spans(docs, list(keys), text_col), max_tokens)
+    found = word_grams(spans.drop("n_tokens"), longest or words_of_longest(dictionary)).join(dictionary, "term").drop("term")
+    return each_copy(found.withColumns({"similarity": F.lit(1.0), "matched_text": matched_text()}))
+
+
+def matched_text() -> Column:
+    """The part of the sentence that a mention covers."""
+    return F.col("sentence").substr(F.col("start_char") - F.col("sentence_start") + 1, F.col("end_char") - F.col("start_char"))
 
 
 def chunk_sentences(
@@ -280,12 +279,13 @@ def chunk_sentences(
     """
     keys = list(keys)
     spans = with_chunks(sentence_spans(docs, keys, text_col), max_tokens)
-    return spans.groupBy(DOC, *keys, "chunk_index").agg(
+    chunks = spans.groupBy(*keys, DOC, COPIES, "chunk_index").agg(
         F.min("sentence_start").alias("start_char"),
         F.max("sentence_end").alias("end_char"),
         F.count("*").alias("n_sentences"),
         F.sum("n_tokens").alias("n_tokens"),
-    ).drop(DOC)
+    )
+    return each_copy(chunks)
 
 
 def chunk_texts(docs: DataFrame, chunks: DataFrame, keys: Sequence[str], text_col: str = "text") -> DataFrame:
