@@ -44,6 +44,11 @@ def split_trim(c: Column, sep_regex: str, trim: bool = True) -> Column:
     return F.split(F.trim(c), rf"\s*{sep_regex}\s*") if trim else F.split(c, sep_regex)
 
 
+def term_grams(term: Column, n: int = 3) -> Column:
+    """Distinct character n-grams of a term with one blank before and behind it, in order; one pass over its characters."""
+    return F.array_distinct(F.regexp_extract_all(F.concat(F.lit(" "), term, F.lit(" ")), F.lit(f"(?s)(?=({'.' * n}))"), 1))
+
+
 def is_negated(name: Column, negations: Sequence[str] = NEGATIONS) -> Column:
     """True when the name starts with a negation word."""
     low = F.lower(name)

@@ -98,6 +98,17 @@ CTES: dict[str, str] = {
     "grams": """SELECT doc_id, lang, lower(piece) AS term, CAST(e - length(piece) AS INTEGER) AS start_char, e AS end_char FROM tokens
         UNION ALL SELECT doc_id, lang, lower(piece || ' ' || next_piece), CAST(e - length(piece) AS INTEGER), next_e FROM tokens
         WHERE next_piece IS NOT NULL""",
+    "spelling_grams": """SELECT term, list_distinct(list_transform(range(1, length(term) + 1), lambda i: substr(' ' || term || ' ', i, 3))) AS gs
+        FROM (SELECT DISTINCT term FROM grams)""",
+    "term_grams": """SELECT term, list_distinct(list_transform(range(1, length(term) + 1), lambda i: substr(' ' || term || ' ', i, 3))) AS gs
+        FROM (SELECT DISTINCT term FROM terms)""",
+    "term_links": """SELECT spelling, term, similarity FROM (
+        SELECT spelling, term, count(*) / sqrt(any_value(n) * any_value(n_2)) AS similarity
+        FROM (SELECT term AS spelling, len(gs) AS n, unnest(gs) AS g FROM spelling_grams)
+        JOIN (SELECT term, len(gs) AS n_2, unnest(gs) AS g FROM term_grams) USING (g) GROUP BY spelling, term) WHERE similarity >= 0.8""",
+    "linked": """SELECT lang AS model, CAST(doc_id AS VARCHAR) AS disease, 'C_' || replace(l.term, ' ', '_') AS CUI, l.term AS UMLS_name,
+        CASE WHEN contains(l.term, ' ') THEN 'Finding' ELSE 'Sign or Symptom' END AS semantic_type_name, start_char, end_char,
+        g.term AS spelling, similarity FROM grams g JOIN term_links l ON g.term = l.spelling""",
     "last_turn": "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id",
     "sections": """SELECT disease_name, max(a) AS clinical_presentation_section, max(b) AS diagnostic_evaluation_section,
         max(c) AS subtype_variant_section, max(d) AS management_therapy_section FROM (

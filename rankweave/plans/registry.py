@@ -9,12 +9,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankweave.functions.spans import distinct_runs
 from rankweave.functions.text import clean_markdown, first_nonempty, norm_id, norm_name, remove_links
 from rankweave.operators import citations as cite
-from rankweave.operators import cohort, concepts, evaluation, fusion, outcomes, readability, retrieval, telemetry, weekly
-from rankweave.operators.vocabulary import BLOCKED_NAMES, SYMPTOM_TYPES, TERMINOLOGIES
+from rankweave.operators import cohort, concepts, evaluation, fusion, linking, outcomes, readability, retrieval, telemetry, weekly
+from rankweave.operators.vocabulary import BLOCKED_NAMES, SYMPTOM_TYPES, TARGET_TYPES, TERMINOLOGIES
 from rankweave.plans import bindings as b
-from rankweave.plans.ctes import COHORT, N_TYPES, Q, TITLE_LIST, TYPE_LIST, quoted, sql
+from rankweave.plans.ctes import COHORT, N_TYPES, NOT_NEGATED, Q, TITLE_LIST, TYPE_LIST, quoted, sql
 from rankweave.session import staging_dir
 from rankweave.sources import tables
 from rankweave.sources.schema import standardize
@@ -215,6 +216,40 @@ def tag_concepts_with_sentence(spark, sf):
         *_TAG_COLUMNS, "matched_text", "UMLS_name", "sentence_no", "sentence_start", "sentence_end", "sentence", "chunk_index")
 
 
+def _spelling(name):
+    return F.regexp_replace(F.lower("matched_text"), r"[\s-]+", " ").alias(name)
+
+
+@query("K13", "SELECT spelling, term, round(similarity, 6) AS similarity FROM term_links")
+def similar_terms(spark, sf):
+    return linking.similar_terms(distinct_runs(b.docs(spark, sf), 2), b.dictionary(spark, sf)).withColumn("similarity", F.round("similarity", 6))
+
+
+_LINKED = "model, disease, CUI, UMLS_name, semantic_type_name, start_char, end_char, spelling, round(similarity, 6) AS similarity"
+
+
+def _linked(spark, sf):
+    return linking.link_concepts(b.docs(spark, sf), b.dictionary(spark, sf), longest=2)
+
+
+@query("K13", f"SELECT {_LINKED} FROM linked")
+def link_concepts(spark, sf):
+    return _linked(spark, sf).select(
+        "model", "disease", "CUI", "UMLS_name", "semantic_type_name", "start_char", "end_char", _spelling("spelling"),
+        F.round("similarity", 6).alias("similarity"))
+
+
+@query(
+    "K1",
+    f"""SELECT model, CUI, spelling, count(*) AS mentions, round(min(similarity), 6) AS least_similarity FROM linked
+    WHERE similarity >= 0.9 AND semantic_type_name IN ({quoted(TARGET_TYPES)}) AND {NOT_NEGATED} GROUP BY ALL""",
+)
+def linked_concept_filter(spark, sf):
+    """The threshold of the concept filter acts on the similarities of the links."""
+    kept = concepts.concept_filter(_linked(spark, sf), min_sim=0.9).select("model", "CUI", _spelling("spelling"), "similarity")
+    return kept.groupBy("model", "CUI", "spelling").agg(F.count("*").alias("mentions"), F.round(F.min("similarity"), 6).alias("least_similarity"))
+
+
 @query(
     "K14",
     """SELECT lang AS model, CAST(doc_id AS VARCHAR) AS disease, chunk_index, min(sentence_start) AS start_char,
