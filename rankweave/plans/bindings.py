@@ -90,6 +90,15 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The trigger phrases of the made-up texts: frequent words of their four languages, in all kinds of the default rules.
+TEXT_RULES = (
+    ("no", "NEGATED_EXISTENCE", "forward"), ("nicht", "NEGATED_EXISTENCE", "forward"), ("pas", "NEGATED_EXISTENCE", "backward"),
+    ("was", "HISTORICAL", "forward"), ("von der", "HISTORICAL", "backward"), ("or", "HYPOTHETICAL", "both"), ("que", "HYPOTHETICAL", "forward"),
+    ("of the", "FAMILY", "forward"), ("of", "FAMILY", "backward"), ("de la", "FAMILY", "both"), ("de la", "HISTORICAL", "forward"),
+    ("and", None, "end"), ("und", None, "end"), ("et", None, "end"), ("is that", None, "end"), ("that was", None, "pseudo"), ("of the and", None, "pseudo"),
+)
+
+
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as markdown summaries: a numbered heading before each of the first ten lines, dialect by language."""
     titles = F.array(*[F.lit(t) for t in TITLES])

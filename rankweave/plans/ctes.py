@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from rankweave.operators.vocabulary import SEMANTIC_GROUPS, TARGET_TYPES
-from rankweave.plans.bindings import HREF, TITLES, TYPES
+from rankweave.plans.bindings import HREF, TEXT_RULES, TITLES, TYPES
 
 
 def quoted(values) -> str:
@@ -109,6 +109,39 @@ CTES: dict[str, str] = {
     "linked": """SELECT lang AS model, CAST(doc_id AS VARCHAR) AS disease, 'C_' || replace(l.term, ' ', '_') AS CUI, l.term AS UMLS_name,
         CASE WHEN contains(l.term, ' ') THEN 'Finding' ELSE 'Sign or Symptom' END AS semantic_type_name, start_char, end_char,
         g.term AS spelling, similarity FROM grams g JOIN term_links l ON g.term = l.spelling""",
+    # --- context of mentions: scopes from the definition, joined by their bounds
+    "ctx_words": r"""SELECT doc_id, sentence_no, n, i, pos, pos + length(head) AS e, lower(head) AS w,
+        regexp_matches(piece, '^[\p{L}\p{N}]+[\s-]+$') AS goes_on FROM (
+        SELECT *, regexp_extract(piece, '^[\p{L}\p{N}]+') AS head,
+          CAST(sum(length(piece)) OVER (PARTITION BY doc_id, sentence_no ORDER BY i) AS INTEGER) - length(piece) AS pos FROM (
+        SELECT doc_id, sentence_no, length(sentence) AS n, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i FROM (
+        SELECT *, regexp_extract_all(sentence, '[\p{L}\p{N}]+[^\p{L}\p{N}]*|[^\p{L}\p{N}]+') AS ps FROM sentence_rows)))""",
+    "ctx_runs": """SELECT a.doc_id, a.sentence_no, a.n, a.i AS i, a.i AS j, a.pos AS start, a.e AS fin, a.w AS term FROM ctx_words a WHERE a.w <> ''
+        UNION ALL SELECT a.doc_id, a.sentence_no, a.n, a.i, b.i, a.pos, b.e, a.w || ' ' || b.w FROM ctx_words a JOIN ctx_words b
+          ON b.doc_id = a.doc_id AND b.sentence_no = a.sentence_no AND b.i = a.i + 1 WHERE a.w <> '' AND a.goes_on
+        UNION ALL SELECT a.doc_id, a.sentence_no, a.n, a.i, c.i, a.pos, c.e, a.w || ' ' || b.w || ' ' || c.w FROM ctx_words a JOIN ctx_words b
+          ON b.doc_id = a.doc_id AND b.sentence_no = a.sentence_no AND b.i = a.i + 1 JOIN ctx_words c
+          ON c.doc_id = a.doc_id AND c.sentence_no = a.sentence_no AND c.i = a.i + 2 WHERE a.w <> '' AND a.goes_on AND b.goes_on""",
+    "ctx_marks": f"""SELECT * FROM ctx_runs JOIN (VALUES {", ".join(f"('{t}', {quoted([f]) if f else 'NULL'}, '{k}')" for t, f, k in TEXT_RULES)})
+        AS rules(term, flag, kind) USING (term)""",
+    "ctx_kept": """SELECT * FROM ctx_marks m WHERE kind <> 'pseudo' AND NOT EXISTS (SELECT 1 FROM ctx_marks o WHERE o.doc_id = m.doc_id
+        AND o.sentence_no = m.sentence_no AND o.start <= m.start AND o.fin >= m.fin AND o.fin - o.start > m.fin - m.start)""",
+    "ctx_reach": """SELECT m.doc_id, m.sentence_no, m.start, m.fin, m.flag, m.kind, coalesce(min(nxt.start), 1000000000) AS stop_after,
+        coalesce(max(lst.fin), 0) AS stop_before, any_value(coalesce(x.e, m.n)) AS ahead, any_value(coalesce(y.pos, 0)) AS behind
+        FROM ctx_kept m LEFT JOIN ctx_kept nxt ON nxt.doc_id = m.doc_id AND nxt.sentence_no = m.sentence_no AND nxt.kind = 'end' AND nxt.start > m.start
+        LEFT JOIN ctx_kept lst ON lst.doc_id = m.doc_id AND lst.sentence_no = m.sentence_no AND lst.kind = 'end' AND lst.start < m.start
+        LEFT JOIN ctx_words x ON x.doc_id = m.doc_id AND x.sentence_no = m.sentence_no AND x.i = m.j + 8
+        LEFT JOIN ctx_words y ON y.doc_id = m.doc_id AND y.sentence_no = m.sentence_no AND y.i = m.i - 8
+        WHERE m.kind <> 'end' GROUP BY ALL""",
+    "ctx_scopes": """SELECT doc_id, sentence_no, flag, fin AS since, least(ahead, stop_after) AS till FROM ctx_reach WHERE kind IN ('forward', 'both')
+        UNION ALL SELECT doc_id, sentence_no, flag, greatest(behind, stop_before), start FROM ctx_reach WHERE kind IN ('backward', 'both')""",
+    "ctx_mentions": """SELECT g.doc_id, lang AS model, CAST(g.doc_id AS VARCHAR) AS disease, 'C_' || replace(term, ' ', '_') AS CUI, start_char, end_char,
+        sentence_no, start_char - sentence_start AS f, end_char - sentence_start AS t
+        FROM grams g JOIN terms USING (term) JOIN sentence_rows s ON s.doc_id = g.doc_id AND g.start_char >= s.sentence_start AND g.start_char < s.sentence_end""",
+    "ctx_flagged": """SELECT m.model, m.disease, m.CUI, m.start_char, m.end_char,
+        coalesce(string_agg(DISTINCT flag, '|' ORDER BY flag), 'AFFIRMED') AS context_flag
+        FROM ctx_mentions m LEFT JOIN ctx_scopes s ON s.doc_id = m.doc_id AND s.sentence_no = m.sentence_no AND s.since <= m.f AND s.till >= m.t
+        GROUP BY m.model, m.disease, m.CUI, m.start_char, m.end_char""",
     "last_turn": "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id",
     "sections": """SELECT disease_name, max(a) AS clinical_presentation_section, max(b) AS diagnostic_evaluation_section,
         max(c) AS subtype_variant_section, max(d) AS management_therapy_section FROM (

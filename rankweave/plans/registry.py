@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from rankweave.functions.spans import distinct_runs
 from rankweave.functions.text import clean_markdown, first_nonempty, norm_id, norm_name, remove_links
 from rankweave.operators import citations as cite
-from rankweave.operators import cohort, concepts, evaluation, fusion, linking, outcomes, readability, retrieval, telemetry, weekly
+from rankweave.operators import cohort, concepts, context, evaluation, fusion, linking, outcomes, readability, retrieval, telemetry, weekly
 from rankweave.operators.vocabulary import BLOCKED_NAMES, SYMPTOM_TYPES, TARGET_TYPES, TERMINOLOGIES
 from rankweave.plans import bindings as b
 from rankweave.plans.ctes import COHORT, N_TYPES, NOT_NEGATED, Q, TITLE_LIST, TYPE_LIST, quoted, sql
@@ -80,6 +80,28 @@ def context_filter(spark, sf):
     return kept.groupBy("model", "CUI", "person_id").agg(F.count("*").alias("n"))
 
 
+def _flagged(spark, sf):
+    return context.context_flags(concepts.tag_concepts(b.docs(spark, sf), b.dictionary(spark, sf), longest=2), b.TEXT_RULES)
+
+
+@query("K3", "SELECT model, disease, CUI, start_char, end_char, context_flag FROM ctx_flagged")
+def context_flags(spark, sf):
+    return _flagged(spark, sf).select("model", "disease", "CUI", "start_char", "end_char", "context_flag")
+
+
+@query(
+    "K3",
+    """SELECT c.model, CUI, count(*) AS mentions, count(DISTINCT disease) AS diseases FROM ctx_flagged f
+    JOIN (SELECT DISTINCT 'w' || length(term) AS model, 'C_' || term AS CUI FROM terms WHERE NOT contains(term, ' ')) c USING (CUI)
+    WHERE NOT regexp_matches(context_flag, 'FAMILY|NEGATED_EXISTENCE|HISTORICAL|HYPOTHETICAL') GROUP BY c.model, CUI""",
+)
+def flagged_context_filter(spark, sf):
+    """The context filter acts on the flags found; the concept sets are the dictionary's words by length."""
+    sets = b.dictionary(spark, sf).filter(~F.col("term").contains(" ")).select(F.concat(F.lit("w"), F.length("term")).alias("model"), "CUI")
+    kept = concepts.context_filter(_flagged(spark, sf).drop("model"), sets)
+    return kept.groupBy("model", "CUI").agg(F.count("*").alias("mentions"), F.count_distinct("disease").alias("diseases"))
+
+
 @query(
     "K4",
     """SELECT group_name, model, count(DISTINCT CUI) AS distinct_cuis, count(DISTINCT disease) AS distinct_diseases
