@@ -58,24 +58,25 @@ def bm25_index(mentions: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFra
     terms = _term_table(variants)
     lengths = _lengths(terms)
     totals = lengths.groupBy("model").agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_doc_len"))
+    joined = terms.join(lengths, ["model", "disease"]).join(_concepts(variants, terms), ["model", "CUI"]).join(totals, "model")
+    return weighted(joined, k1, b)
+
+
+def weighted(joined: DataFrame, k1: float, b: float) -> DataFrame:
+    """The index columns from tf, df, doc_len, n_docs and avg_doc_len."""
     idf = F.log((F.col("n_docs") + 1) / (F.col("df") + 0.5))
     tf = F.col("tf")
     norm = tf + k1 * (1 - b + b * F.col("doc_len") / F.col("avg_doc_len"))
-    return (
-        terms.join(lengths, ["model", "disease"])
-        .join(_concepts(variants, terms), ["model", "CUI"])
-        .join(totals, "model")
-        .select(
-            "model",
-            "disease",
-            "semantic_type_name",
-            "CUI",
-            "UMLS_name",
-            "tf",
-            "df",
-            idf.alias("idf"),
-            (idf * tf * (k1 + 1) / norm).alias("bm25"),
-        )
+    return joined.select(
+        "model",
+        "disease",
+        "semantic_type_name",
+        "CUI",
+        "UMLS_name",
+        "tf",
+        "df",
+        idf.alias("idf"),
+        (idf * tf * (k1 + 1) / norm).alias("bm25"),
     )
 
 

@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from rankweave.functions.spans import distinct_runs
 from rankweave.functions.text import clean_markdown, first_nonempty, norm_id, norm_name, remove_links
 from rankweave.operators import citations as cite
-from rankweave.operators import cohort, concepts, context, evaluation, fusion, linking, outcomes, readability, retrieval, telemetry, weekly
+from rankweave.operators import cohort, concepts, context, evaluation, fusion, linking, outcomes, postings, readability, retrieval, telemetry, weekly
 from rankweave.operators.vocabulary import BLOCKED_NAMES, SYMPTOM_TYPES, TARGET_TYPES, TERMINOLOGIES
 from rankweave.plans import bindings as b
 from rankweave.plans.ctes import COHORT, N_TYPES, NOT_NEGATED, Q, TITLE_LIST, TYPE_LIST, quoted, sql
-from rankweave.session import staging_dir
+from rankweave.session import remember_staged, stage, staging_dir
 from rankweave.sources import tables
 from rankweave.sources.schema import standardize
+from rankweave.streaming import index_upkeep
 from rankweave.streaming.incremental import new_rows
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -383,6 +384,23 @@ def matched_concepts(spark, sf):
     return retrieval.matched_concepts(retrieval.bm25_match(queries, index, k=5), queries, index)
 
 
+@query("R2", f"SELECT {Q}, disease, shared_cui_count, bm25_sum, rank FROM text_ranked")
+def bm25_match_blocks(spark, sf):
+    """The index is stored as blocks of postings, then matched."""
+    stored = stage(postings.posting_blocks(_text_index(spark, sf)))
+    return postings.match_blocks(retrieval.query_concepts(b.text_patients(spark, sf)), stored)
+
+
+@query("R1", "SELECT model, disease, CUI, UMLS_name, semantic_type_name, tf, df, round(idf, 6) AS idf, round(bm25, 6) AS bm25 FROM text_index")
+def bm25_index_upkeep(spark, sf):
+    """Three batches of diseases, one after the other; the third changes the weights of the first."""
+    path = remember_staged(f"{staging_dir(spark)}/index-{uuid.uuid4().hex}")
+    mentions = _kept(spark, sf)
+    for i in range(3):
+        index_upkeep.add_batch(mentions.filter(F.pmod(F.xxhash64("disease"), F.lit(3)) == i), path, f"batch-{i}")
+    return index_upkeep.read_index(spark, path).withColumn("idf", F.round("idf", 6)).withColumn("bm25", F.round("bm25", 6))
+
+
 def _dense(spark, sf):
     return retrieval.dense_rank(b.vectors(spark, sf), b.centroids(spark, sf), k=5)
 
