@@ -20,6 +20,7 @@ from rankweave.session import remember_staged, stage, staging_dir
 from rankweave.sources import tables
 from rankweave.sources.schema import standardize
 from rankweave.streaming import index_upkeep
+from rankweave.streaming.incremental import append_new as append_rows
 from rankweave.streaming.incremental import new_rows
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -1296,6 +1297,40 @@ def append_new(spark, sf):
     return new_rows(b.table(spark, sf, "part").select("p_partkey"), done, ["p_partkey"])
 
 
+@query(
+    "L10",
+    """SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS amount, p_name AS name, NULL AS supplier FROM part
+    UNION ALL SELECT s_suppkey + 1000000000000, CAST(s_acctbal AS DOUBLE), NULL, s_name FROM supplier""",
+)
+def append_schema_change(spark, sf):
+    """Suppliers appended to parts: one column is new, one is missing, one has a wider type; appended twice, they stay once."""
+    database = f"rankweave_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{remember_staged(f'{staging_dir(spark)}/rankweave/{database}')}'")
+    parts = b.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("int").alias("amount"), F.col("p_name").alias("name"))
+    suppliers = b.table(spark, sf, "supplier").select(
+        (F.col("s_suppkey") + 1000000000000).alias("id"), F.col("s_acctbal").cast("double").alias("amount"), F.col("s_name").alias("supplier"))
+    for rows in (parts, suppliers, suppliers):
+        stored = append_rows(rows, f"{database}.items", ["id"])
+    return stored
+
+
+@query(
+    "R2",
+    f"""SELECT r.*, m.matched_cuis FROM sparse r LEFT JOIN (
+    SELECT s.model, s.dataset, s.patient_id, s.disease, string_agg(DISTINCT i.CUI, ' | ' ORDER BY i.CUI) AS matched_cuis
+    FROM sparse s JOIN (SELECT DISTINCT dataset, patient_id, CUI FROM active) q USING (dataset, patient_id)
+    JOIN pos_index i ON i.model = s.model AND i.disease = s.disease AND i.CUI = q.CUI GROUP BY ALL) m USING ({Q}, disease)""",
+)
+def matched_concepts_bucketed(spark, sf):
+    """The index is stored once, bucketed by its key: matching and the look-up of names both read that table."""
+    database = f"rankweave_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{remember_staged(f'{staging_dir(spark)}/rankweave/{database}')}'")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    index = tables.save_bucketed(retrieval.bm25_index(b.position_mentions(spark, sf)), f"{database}.bm25", ["model", "disease", "CUI"], parts)
+    queries = b.position_queries(spark, sf)
+    return retrieval.matched_concepts(retrieval.bm25_match(queries, index, k=5), queries, index).drop("matched_names")
+
+
 @query(
     "L11",
     "SELECT o_orderpriority, " + ", ".join(
