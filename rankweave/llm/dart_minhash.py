@@ -5,9 +5,10 @@ one process per unit of weight.  Each dart names a coordinate; the earliest dart
 value.  A signature takes about k ln k darts however long the text is.  Two signatures agree in a coordinate with the
 probability of the weighted Jaccard similarity.
 
-Bands of coordinates give buckets.  Every bucket compares its members with one centre, another one in each band; what
-shares a bucket but is not in one class after that is compared in pairs of blocks.  Signatures sift the pairs, and
-the exact weighted Jaccard similarity decides each link.
+Bands of coordinates give buckets.  Each text is compared with the centres of its buckets, first with one of a few, then
+with those that are still of another class.  Components that share a bucket and whose sketches agree enough are one
+family, and its texts are compared in blocks: those outside its largest component with all.  The exact weighted Jaccard
+similarity decides each link; a cell of two blocks returns a forest of links, never its pairs.
 """
 
 from __future__ import annotations
@@ -21,14 +22,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.llm.common import Scratch, block_pairs, id_and_text, mix64, row_hash, same_row, whole_rows
+from rankweave.llm.common import Scratch, id_and_text, mix64, row_hash, same_row, whole_rows
 from rankweave.llm.components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 40, 6  # a pair at 0.8 misses all bands with probability (1 - 0.8**6)**40 = 5e-6
 SLACK = 5  # standard deviations that a signature may fall below the threshold before the exact check
+FIRST = 5  # bands whose centres are tried first
 BLOCK = 1024
+LOAD = 500_000  # shingles of a block of texts
 CACHED_WORDS = 100_000  # in a Python worker, about 15 MB
 DARTS_AT_ONCE = 250_000  # shingles and darts of a group of texts that throw together
 
@@ -198,35 +201,96 @@ def _shingle_table(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("node", "text").mapInPandas(run, "node long, h binary, c binary")
 
 
-def _crossing(rows: DataFrame, least: float) -> DataFrame:
-    """rows: block pairs of ``bucket, node, component, weight, sketch`` -> (a, b) of other components whose sketches agree enough."""
+def _cells(rows: DataFrame, key: str, load: Column, block: int, most: int) -> DataFrame:
+    """Deals the rows (``node, component``) of each key with at least two components over cells (_a, _m).
 
+    The component with most rows of a key is its main one, and the rows of the others ask.  Each asking row meets each row
+    of its key in one cell: held rows are in one block _a of all rows, asking ones in one block _m, and a block has about
+    ``block`` rows and a load of ``most``.  A key whose rows are nearly all of one component so costs little more than
+    its rows, and one with many components as many cells as it has pairs of blocks.
+    """
+    each = rows.groupBy(key, "component").agg(F.count(F.lit(1)).alias("n"), F.sum(load).alias("l"))
+    whole = each.groupBy(key).agg(
+        F.sum("n").alias("n"), F.sum("l").alias("l"), F.max(F.struct("n", "l", "component")).alias("top"), F.count(F.lit(1)).alias("of")).filter("of > 1")
+    blocks = lambda n, l: F.greatest(F.lit(1), F.ceil(n / block), F.ceil(l / most)).cast("int")
+    sizes = whole.select(
+        key, F.col("top.component").alias("_main"), blocks(F.col("n"), F.col("l")).alias("_na"),
+        blocks(F.col("n") - F.col("top.n"), F.col("l") - F.col("top.l")).alias("_nm"))
+    own = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+    cell = lambda a, m, asks: F.struct(a.alias("a"), m.alias("m"), F.lit(asks).alias("asks"))
+    minor = F.col("component") != F.col("_main")
+    held = F.transform(F.sequence(F.lit(0), F.col("_nm") - 1), lambda m: cell(own("_na", 17), m, False))
+    asking = F.transform(F.sequence(F.lit(0), F.col("_na") - 1), lambda a: cell(a, own("_nm", 19), True))
+    return (
+        rows.join(sizes, key).withColumn("minor", minor)
+        .withColumn("_c", F.explode(F.when(minor, F.concat(held, asking)).otherwise(held)))
+        .select(*rows.columns, "minor", F.col("_c.a").alias("_a"), F.col("_c.m").alias("_m"), F.col("_c.asks").alias("asks"))
+    )
+
+
+def _shared(held: pd.DataFrame):
+    """Function of one row's shingles: the weight it shares with each held row, from the sorted shingles of all of them."""
+    hashes, counts = (np.frombuffer(b"".join(held[name]), np.int64) for name in ("h", "c"))
+    owner = np.repeat(np.arange(len(held)), held["h"].str.len().to_numpy() // 8)
+    order = np.argsort(hashes, kind="stable")
+    hashes, counts, owner = hashes[order], counts[order], owner[order]
+
+    def of(h: bytes, c: bytes) -> np.ndarray:
+        asked = np.frombuffer(h, np.int64)
+        low = np.searchsorted(hashes, asked, "left")
+        n = np.searchsorted(hashes, asked, "right") - low
+        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.bincount(owner[at], np.minimum(counts[at], np.repeat(np.frombuffer(c, np.int64), n)), len(held))
+
+    return of
+
+
+def _joining(frame: pd.DataFrame, least: float, similar: float) -> list[tuple[int, int, int, int]]:
+    """(node, its component, other node, its component) that join the components of a cell, as a forest: fewer than it has components.
+
+    Rows link where their sketches agree enough, and with columns ``h`` and ``c`` where the exact similarity does too.  A
+    pair whose components are joined already is not looked at.
+    """
+    asks = frame["asks"].to_numpy()
+    held, asking = frame[~asks], frame[asks]
+    out: list[tuple[int, int, int, int]] = []
+    if not len(held) or not len(asking):
+        return out
+    x, y = (np.frombuffer(b"".join(f["sketch"]), np.uint8).reshape(len(f), -1) for f in (asking, held))
+    names, label = np.unique(frame["component"].to_numpy(), return_inverse=True)
+    cx, cy, label = label[asks], label[~asks], np.arange(len(names))
+    (nx, wx), (ny, wy) = ((f["node"].to_numpy(), f["weight"].to_numpy()) for f in (asking, held))
+    once = ~held["minor"].to_numpy()  # two asking rows meet in two cells; the smaller node looks
+    k = x.shape[1]
+    head = max(1, k // 4)
+    first = np.ascontiguousarray(y[:, :head])
+    floor = least - SLACK * np.sqrt(least * (1 - least) / head)  # a quarter of the coordinates sifts first
+    shared = _shared(held) if "h" in frame else None
+    for i in range(len(x)):
+        near = np.nonzero((label[cy] != label[cx[i]]) & (once | (ny > nx[i])) & (np.minimum(wy, wx[i]) >= similar * np.maximum(wy, wx[i])))[0]
+        near = near[(first[near] == x[i, :head]).sum(axis=1, dtype=np.int32) >= floor * head]
+        near = near[(y[near] == x[i]).sum(axis=1, dtype=np.int32) >= least * k]
+        if shared and len(near):
+            both = shared(asking["h"].iat[i], asking["c"].iat[i])[near]
+            near = near[both / (wy[near] + wx[i] - both) >= similar]
+        while len(near):
+            j = near[0]
+            out.append((nx[i], names[cx[i]], ny[j], names[cy[j]]))
+            label[label == label[cy[j]]] = label[cx[i]]
+            near = near[label[cy[near]] != label[cx[i]]]
+    return out
+
+
+def _joined(cells: DataFrame, key: str, least: float, similar: float) -> DataFrame:
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        side = frame["_side"].to_numpy()
-        left, right = frame[side <= 0], frame[side != 0]
-        out = []
-        if len(left) and len(right):
-            x, y = (np.frombuffer(b"".join(f["sketch"]), np.uint8).reshape(len(f), -1) for f in (left, right))
-            cx, cy, nx, ny = left["component"].to_numpy(), right["component"].to_numpy(), left["node"].to_numpy(), right["node"].to_numpy()
-            k = x.shape[1]
-            head = max(1, k // 4)
-            first = np.ascontiguousarray(y[:, :head])
-            floor = least - SLACK * np.sqrt(least * (1 - least) / head)  # a quarter of the coordinates sifts first
-            for i in range(len(x)):
-                near = np.nonzero((cy != cx[i]) & ((ny > nx[i]) | (side[0] >= 0)))[0]
-                if len(near):
-                    near = near[(first[near] == x[i, :head]).sum(axis=1, dtype=np.int32) >= floor * head]
-                    near = near[(y[near] == x[i]).sum(axis=1, dtype=np.int32) >= least * k]
-                    out += [(nx[i], n) for n in ny[near]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
-
-    pairs = rows.groupBy("bucket", "_i", "_j").applyInPandas(run, "a long, b long")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return pd.DataFrame(_joining(frame, least, similar), columns=["a", "ca", "b", "cb"], dtype=np.int64)
+
+    return cells.groupBy(key, "_a", "_m").applyInPandas(run, "a long, ca long, b long, cb long")
 
 
 def near_duplicates(
-    docs: DataFrame, similar: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK,
-    id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, similar: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, first_bands: int = FIRST,
+    block: int = BLOCK, load: int = LOAD, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """(doc_id, _rh, class_id, kept): one row per document; class_id is the smallest doc_id of its class, kept the one row of it.
 
@@ -242,53 +306,73 @@ def near_duplicates(
         sketched.groupBy("print").agg(F.min(first).alias("first"), F.first("weight").alias("weight"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
         .withColumn("node", F.monotonically_increasing_id()))
 
-    # Buckets with at least two different texts, and a centre for each: by a hash that differs from band to band.
-    placed = nodes.select("node", F.explode("bands").alias("bucket"))
-    centres = placed.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("_n"), F.min(F.struct(F.xxhash64("bucket", "node"), "node")).alias("_c"),
-    ).filter("_n > 1").select("bucket", F.col("_c.node").alias("centre"))
-    members = scratch.store(placed.join(centres, "bucket"))
-    texts = docs.join(
-        members.select("node").distinct().join(nodes.select("node", F.col("first.doc_id").alias("_id"), F.col("first._rh").alias("_nh")), "node"),
-        (F.col("_rh") == F.col("_nh")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text").dropDuplicates(["node"])
-    shingles = scratch.store(_shingle_table(texts, shingle))
-
     least = similar - SLACK * np.sqrt(similar * (1 - similar) / (bands * rows))
     info = nodes.select("node", "weight", "sketch")
+    tables: list[DataFrame] = []
+
+    def shingles(wanted: DataFrame) -> DataFrame:
+        """The shingle table, with the wanted nodes made where earlier steps have not."""
+        wanted = wanted.select("node").distinct()
+        for table in tables:
+            wanted = wanted.join(table.select("node"), "node", "left_anti")
+        named = nodes.select("node", F.col("first.doc_id").alias("_id"), F.col("first._rh").alias("_nh")).join(wanted, "node")
+        texts = docs.join(named, (F.col("_rh") == F.col("_nh")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+        tables.append(scratch.store(_shingle_table(texts.select("node", "text").dropDuplicates(["node"]), shingle)))
+        return functools.reduce(DataFrame.unionByName, tables)
+
+    def classed(links: DataFrame | None) -> DataFrame:
+        """(node, component, bands) of every text."""
+        plain = nodes.select("node", "bands")
+        if links is None:
+            return plain.withColumn("component", F.col("node"))
+        found = components(links, scratch).withColumnRenamed("id", "node")
+        return plain.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    def placed(texts: DataFrame, n: int) -> DataFrame:
+        return texts.select("node", "component", F.explode(F.slice("bands", 1, n)).alias("bucket"))
+
+    def stars(members: DataFrame) -> DataFrame:
+        """(a, b, n): texts and the centre of n buckets they share, where it is of another component.
+
+        A bucket's centre is of the component with most of its members, by a hash that differs from bucket to bucket.
+        """
+        centres = (
+            members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("bucket", "node"), "node")).alias("c"))
+            .groupBy("bucket").agg(F.max(F.struct("n", "c", "component")).alias("top"), F.count(F.lit(1)).alias("of")).filter("of > 1")
+            .select("bucket", F.col("top.c.node").alias("b"), F.col("top.component").alias("_cb"))
+        )
+        met = members.join(centres, (members["bucket"] == centres["bucket"]) & (members["component"] != centres["_cb"]))
+        return met.groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        of = lambda end: shingles.select(F.col("node").alias(end), F.col("h").alias(f"h{end}"), F.col("c").alias(f"c{end}"))
-        both = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b")
-        return both.filter(similarity(F.col("ha"), F.col("ca"), F.col("hb"), F.col("cb")) >= similar).select("a", "b")
-
-    def component_of(found: DataFrame) -> DataFrame:
-        return components(found, scratch)
-
-    def crossing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-        of = lambda end: classes.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
-        both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-        return both.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
-
-    # 1: each text with the best of its centres; 2: with its other centres, where that left two classes.
-    of = lambda end: info.select(F.col("node").alias(end), F.col("weight").alias(f"w{end}"), F.col("sketch").alias(f"s{end}"))
-    stars = members.filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    sized = F.least("wa", "wb") >= similar * F.greatest("wa", "wb")
-    stars = scratch.store(
-        stars.join(of("a"), "a").join(of("b"), "b").filter(sized).withColumn("agree", agreement(F.col("sa"), F.col("sb")))
-        .filter(F.col("agree") >= least).select("a", "b", "agree"))
-    links = scratch.store(verified(stars.groupBy("a").agg(F.max_by("b", F.struct("agree", "b")).alias("b"))))
-    more = scratch.store(verified(crossing(stars, component_of(links))))
-    links = scratch.store(links.unionByName(more))
-
-    # 3: members of a bucket that are still in two classes.
-    classes = component_of(links)
-    classed = members.join(classes.withColumnRenamed("id", "node"), "node", "left").select(
-        "bucket", "node", F.coalesce("component", "node").alias("component"))
-    split = classed.groupBy("bucket").agg((F.min("component") < F.max("component")).alias("_split")).filter("_split").select("bucket")
-    rest = block_pairs(classed.join(split, "bucket").join(info, "node"), ["bucket"], F.col("node"), block)
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    late = scratch.store(verified(scratch.store(_crossing(rest, least).join(tried, ["a", "b"], "left_anti"))))
-    classes = component_of(links.unionByName(late))
+        of = lambda end: info.select(F.col("node").alias(end), F.col("weight").alias(f"w{end}"), F.col("sketch").alias(f"s{end}"))
+        sized = F.least("wa", "wb") >= similar * F.greatest("wa", "wb")
+        near = scratch.store(
+            pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").filter(sized)
+            .filter(agreement(F.col("sa"), F.col("sb")) >= least).select("a", "b"))
+        made = shingles(near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))))
+        of = lambda end: made.select(F.col("node").alias(end), F.col("h").alias(f"h{end}"), F.col("c").alias(f"c{end}"))
+        both = near.join(of("a"), "a").join(of("b"), "b")
+        return scratch.store(both.filter(similarity(F.col("ha"), F.col("ca"), F.col("hb"), F.col("cb")) >= similar).select("a", "b"))
+
+    # 1: each text with one centre of its first few buckets; 2: with the centres of all its buckets that are still of other components.
+    best = stars(placed(classed(None), min(first_bands, bands))).groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+    links = verified(best)
+    links = links.unionByName(verified(stars(placed(classed(links), bands))))
+
+    # 3: families: components that some two texts of one bucket join if sketches decided.  Each bucket returns a forest.
+    texts = scratch.store(classed(links))
+    members = placed(texts, bands).join(info, "node")
+    maybe = scratch.store(_joined(_cells(members, "bucket", F.lit(0), block, 1), "bucket", least, similar).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    inside = maybe.select("a").union(maybe.select("b")).distinct().toDF("component")
+    families = components(maybe, scratch).withColumnRenamed("component", "family")
+    families = inside.join(families, F.col("component") == F.col("id"), "left").select("component", F.coalesce("family", "component").alias("family"))
+
+    # 4: inside a family the shingles decide, and each cell returns the links that join its components.
+    members = scratch.store(texts.select("node", "component").join(families, "component"))
+    members = members.join(info, "node").join(shingles(members), "node")
+    late = _joined(_cells(members, "family", F.col("weight"), block, load), "family", least, similar).select("a", "b")
+    classes = components(links.unionByName(scratch.store(late)), scratch)
 
     grouped = nodes.select("node", "print", "first").join(classes.withColumnRenamed("id", "node"), "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
