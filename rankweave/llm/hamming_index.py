@@ -4,12 +4,18 @@ A rotation learned by iterative quantisation (Gong and Lazebnik, 2011) turns a v
 cut into substrings and each substring is an index.  By the pigeonhole principle a code within Hamming radius r agrees
 with the query in some substring but for its share of r, so probing those values retrieves every code within the
 radius; their vectors are then ranked by the true distance.
+
+Bits, radius and substrings follow from the vectors: the radius is the smallest that holds the wanted share of the true
+neighbours of a sample, and the substrings are those whose probes meet the least of the table.  Where even these would
+meet more than all of it (vectors spread evenly in many dimensions), the codes are not cut and each query passes over
+all codes once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -19,10 +25,11 @@ from pyspark.sql import functions as F
 from rankweave.llm.common import Scratch
 from rankweave.llm.metric_join import usable
 
-BITS = 64
-SUBSTRINGS = 16
-RADIUS = 29
-SAMPLE = 20_000  # vectors that the rotation is learned from; every vector is indexed
+MOST_BITS = 256  # a code has 64 bits for each 64 dimensions, up to this
+RECALL = 0.97  # share of true neighbours within the radius, in the sample
+SAMPLE = 20_000  # vectors that the rotation and the radius are learned from; every vector is indexed
+ASKED_OF_SAMPLE = 512  # of them are queries when the radius is learned
+PROBES = 2048  # of one query, at most
 ROUNDS = 20
 BLOCK = 4096
 ASKED = 1024
@@ -32,7 +39,7 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.float64).reshape(len(column), -1)
 
 
-def learn_rotation(x: np.ndarray, bits: int = BITS, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+def learn_rotation(x: np.ndarray, bits: int = 64, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """(mean, projection to ``bits`` values whose signs are the code)."""
     mean = x.mean(axis=0)
     centred, draw = x - mean, np.random.default_rng(9)
@@ -54,6 +61,32 @@ def codes(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray
     return np.packbits((x - mean) @ projection > 0, axis=1)
 
 
+def learn_radius(x: np.ndarray, code: np.ndarray, k: int, recall: float, asked: int = ASKED_OF_SAMPLE) -> int:
+    """Smallest Hamming radius around a row that holds the share ``recall`` of its k nearest rows, over ``asked`` rows.
+
+    Of a sample's rows; in the whole table the k nearest are no farther, so the radius holds at least as many of them.
+    """
+    far, norms = [], (x * x).sum(axis=1)
+    for i in range(min(asked, len(x))):
+        gap = norms - 2 * (x @ x[i])
+        gap[i] = np.inf
+        near = np.argpartition(gap, min(k, len(x) - 1) - 1)[:min(k, len(x) - 1)] if len(x) > 1 else []
+        far.append(np.bitwise_count(code[near] ^ code[i]).sum(axis=1))
+    far = np.sort(np.concatenate(far)) if far else np.zeros(0, int)
+    return int(far[int(np.ceil(recall * len(far))) - 1]) if len(far) else 0
+
+
+def best_substrings(bits: int, radius: int, probes: int = PROBES) -> int:
+    """Number of substrings whose probes meet the smallest share of evenly used codes; 0 (codes stay whole) if that is all of them."""
+    best, found = 1.0, 0
+    for n in (n for n in range(2, bits // 2 + 1) if bits % n == 0 and bits // n <= 32):
+        width = bits // n
+        values = [sum(comb(width, d) for d in range(s + 1)) for s in shares(bits, n, radius)]
+        if sum(values) <= probes and sum(values) / 2**width < best:
+            best, found = sum(values) / 2**width, n
+    return found
+
+
 def shares(bits: int, substrings: int, radius: int) -> list[int]:
     """Radius to probe in each substring (-1: none) so that no code within ``radius`` is missed."""
     if radius >= bits:
@@ -72,7 +105,7 @@ def _flips(width: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for k in range(max(-1, radius) + 1) for c in combinations(range(width), k)], dtype=np.int64)
 
 
-def _search(frame: pd.DataFrame, j: int, share: list[int], radius: int, substrings: int, k: int) -> pd.DataFrame:
+def _search(frame: pd.DataFrame, j: int, share: list[int], radius: int, k: int) -> pd.DataFrame:
     """One bucket of substring j: each query's k best of the codes within the radius that no earlier substring finds."""
     asked = frame["asked"].to_numpy()
     queries, rows = frame[asked], frame[~asked]
@@ -85,7 +118,7 @@ def _search(frame: pd.DataFrame, j: int, share: list[int], radius: int, substrin
             near &= keys != q_row
             near = np.nonzero(near)[0]
             if j and len(near):
-                parts = np.bitwise_count(_substrings(differ[near], substrings)[:, :j])
+                parts = np.bitwise_count(_substrings(differ[near], len(share))[:, :j])
                 near = near[~(parts <= np.array(share[:j])).any(axis=1)]
             if len(near):
                 gap = v[near] - np.frombuffer(q, np.float64)
@@ -99,15 +132,18 @@ def _probed(index: DataFrame, asked: DataFrame, radius: int, bits: int, substrin
     """(query, vec_id, score): up to k for each query and bucket.
 
     Every vector goes to its value of each substring, every query to the values it has to probe.  Large buckets are cut
-    into blocks of vectors and blocks of queries, so a vector that very many rows share fills no single task.
+    into blocks of vectors and blocks of queries, so a vector that very many rows share fills no single task.  Without
+    substrings, or with a radius of all bits, there is one bucket.
     """
-    share, width = shares(bits, substrings, radius), bits // substrings
-    flips = [_flips(width, s) for s in share]
+    cut = substrings if radius < bits else 0
+    share = shares(bits, cut, radius) if cut else [radius]
+    flips = [_flips(bits // cut, s) for s in share] if cut else [np.zeros(1, np.int64)]
 
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            values = _substrings(np.frombuffer(b"".join(frame["code"]), np.uint8).reshape(len(frame), -1), substrings) if len(frame) else []
-            for j in range(substrings):
+            packed = np.frombuffer(b"".join(frame["code"]), np.uint8).reshape(len(frame), bits // 8)
+            values = _substrings(packed, cut) if cut else np.zeros((len(frame), 1), np.int64)
+            for j in range(len(flips)):
                 if len(flips[j]) and len(frame):
                     probes = flips[j] if frame["asked"].iat[0] else flips[j][:1]
                     at = np.repeat(np.arange(len(frame)), len(probes))
@@ -124,24 +160,23 @@ def _probed(index: DataFrame, asked: DataFrame, radius: int, bits: int, substrin
     probes = probes.join(sizes, ["j", "value"]).withColumn("_a", own("_na")).withColumn("_b", every("_nb"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return _search(frame, int(frame["j"].iat[0]), share, radius, substrings, k)
+        return _search(frame, int(frame["j"].iat[0]), share, radius, k)
 
     return cells.unionByName(probes).groupBy("j", "value", "_a", "_b").applyInPandas(
         run, "query long, vec_id {}, score double".format(index.schema["vec_id"].dataType.simpleString()))
 
 
 def nearest(
-    vectors: DataFrame, is_query: Column, k: int = 10, bits: int = BITS, substrings: int = SUBSTRINGS, radius: int = RADIUS,
-    sample: int = SAMPLE, block: int = BLOCK, ask: int = ASKED, id_col: str = "vec_id", vector_col: str = "embedding",
+    vectors: DataFrame, is_query: Column, k: int = 10, bits: int | None = None, substrings: int | None = None, radius: int | None = None,
+    recall: float = RECALL, sample: int = SAMPLE, block: int = BLOCK, ask: int = ASKED, id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row that ``is_query`` selects, its own row left out.
 
     Queries with fewer than k codes within the radius look through all codes in a second pass, so that only a table of
-    too few vectors gives fewer than k.  Vectors that are null, zero or not finite, and vectors of another length than
+    too few vectors gives fewer than k.  What is not given is chosen: bits from the dimensions, the radius from a sample of
+    at most ``sample`` vectors so that it holds the share ``recall`` of their neighbours, the substrings from both.  Vectors that are null, zero or not finite, and vectors of another length than
     most, take no part; ties go to the smaller vec_id; rows with equal vec_id are candidates of each other.
     """
-    if bits % substrings or bits % 8:
-        raise ValueError("bits must be a multiple of 8 and of the number of substrings")
     spark = vectors.sparkSession
     scratch = Scratch(spark, "hamming-index")
     able = vectors.filter(usable(F.col(vector_col))).select(
@@ -151,14 +186,24 @@ def nearest(
     if usual is None:
         return empty
     able = able.filter(F.size("a") == usual["d"])
+    bits = bits or min(MOST_BITS, 64 * -(-usual["d"] // 64))
+    if bits % 8 or bits % (substrings or 1):
+        raise ValueError("bits must be a multiple of 8 and of the number of substrings")
 
     def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = [np.stack(f["a"].to_numpy()) for f in frames if len(f)]
-        mean, projection = learn_rotation(np.concatenate(found), bits)
-        yield pd.DataFrame({"mean": [mean.tobytes()], "projection": [projection.tobytes()]})
-
-    drawn = able.orderBy(F.xxhash64("a"), "vec_id").limit(sample).select("a").coalesce(1)
-    learned = drawn.mapInPandas(learn, "mean binary, projection binary").first()
+        x = np.concatenate(found)
+        mean, projection = learn_rotation(x, bits)
+        held = radius if radius is not None else learn_radius(x, codes(x, mean, projection), k, recall)
+        yield pd.DataFrame({"mean": [mean.tobytes()], "projection": [projection.tobytes()], "radius": [held]})
+
+    # Rows are drawn by a hash below a threshold, so that few more than the sample are ever sorted.
+    share = 1.2 * sample / usual["count"]
+    drawn = able if share >= 1 else able.filter(F.pmod(F.xxhash64("a", "vec_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    drawn = drawn.orderBy(F.xxhash64("a"), "vec_id").limit(sample).select("a").coalesce(1)
+    learned = drawn.mapInPandas(learn, "mean binary, projection binary, radius int").first()
+    radius = learned["radius"]
+    substrings = best_substrings(bits, radius) if substrings is None else substrings
     mean = np.frombuffer(learned["mean"])
     projection = np.frombuffer(learned["projection"]).reshape(usual["d"], bits)
 
@@ -179,6 +224,6 @@ def nearest(
     full = found.filter(F.col("rank") == k).select(F.col("query").alias("_row"))
     few = asked.join(full, "_row", "left_anti")
     all_found = found.join(few.select(F.col("_row").alias("query")), "query", "left_anti").unionByName(
-        best(_probed(rows, few, bits, bits, substrings, k, block, ask)))
+        best(_probed(rows, few, bits, bits, 0, k, block, ask)))
     names = asked.select(F.col("_row").alias("query"), F.col("vec_id").alias("query_id"))
     return all_found.join(names, "query").select("query_id", "rank", "vec_id", "score")
