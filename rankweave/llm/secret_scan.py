@@ -8,6 +8,7 @@ scope's width, where each cell keeps only the first start and the last end per r
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -43,12 +44,24 @@ def find_parts(text: str) -> tuple[list, list]:
     strong = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 8]
     strong += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16]
     strong += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
+    starts, ends = [], []  # strong parts as separate stretches of text
+    for start, _, end in sorted(strong):
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+
+    def free(start: int, end: int) -> bool:
+        before = bisect_left(starts, end)  # stretches that begin before the end; only the last of them can reach in
+        return not before or ends[before - 1] <= start
+
     weak = []
     for rank, pattern in ((3, _MIXED), (4, _NAME), (5, _PLACE)):
         for m in pattern.finditer(text):
             found = m[0]
             mixed = re.search("[0-9]", found) and re.search("[a-z]", found) and re.search("[A-Z]", found)
-            if (rank > 3 or mixed) and not any(s < m.end() and m.start() < e for s, _, e in strong):
+            if (rank > 3 or mixed) and free(m.start(), m.end()):
                 weak.append((m.start(), rank, m.end()))
     return sorted(strong), sorted(weak)
 
