@@ -24,8 +24,8 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 def canonical(host: Column, path: Column) -> Column:
     """Key of a listed URL: scheme, query and fragment gone, no ``www.``, no ending dot or default port in the host, and no
     ``.html`` or slash at the end of the path."""
-    plain = F.regexp_replace(F.regexp_replace(host, r"(\.|:80|:443)$", ""), r"^www\.", "")
-    return F.concat(plain, F.regexp_replace(path, r"(/|\.html)$", ""))
+    plain = F.regexp_replace(F.regexp_replace(host, r"(\.|:80|:443)\z", ""), r"^www\.", "")
+    return F.concat(plain, F.regexp_replace(path, r"(/|\.html)\z", ""))
 
 
 def _bloom_words(hashed: Column) -> list[Column]:
@@ -70,17 +70,18 @@ def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, url_col: s
     rows = pages.select(F.struct(*[pages[f"`{c}`"] for c in names]).alias("row"), host.alias("_host"), path.alias("_path"))
     rules = rules.select("action", "host", "path").dropna().distinct()
     lengths = rules.agg(F.collect_set(F.length("path"))).scalar()  # at most as many as a path has characters
-    pairs = rows.select("_host", "_path").distinct().withColumn("_lengths", lengths)
+    most = rules.agg(F.max(F.size(F.split("host", r"\.")))).scalar()  # labels of the longest rule's host: no longer suffix fits one
+    pairs = rows.select("_host", "_path").distinct().withColumn("_lengths", lengths).withColumn("_most", F.coalesce(most, F.lit(1)))
     labels = F.split("_host", r"\.")
     suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), ".")
+        F.sequence(F.greatest(F.lit(1), F.size(labels) - F.col("_most") + 1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), ".")
     )
     fits = F.flatten(F.transform(suffixes, lambda s: F.transform(
         F.filter("_lengths", lambda n: n <= F.length("_path")),
         lambda n: F.concat(s, F.lit(" "), F.substr(F.col("_path"), F.lit(1), n)))))
     url_key = F.concat(F.lit("="), canonical(F.col("_host"), F.col("_path")))
     asked = pairs.filter(F.col("_host") != "").withColumn(
-        "key", F.explode(F.array_distinct(F.concat(fits, F.array(url_key))))).drop("_lengths")
+        "key", F.explode(F.array_distinct(F.concat(fits, F.array(url_key))))).drop("_lengths", "_most")
 
     known = rules.select(
         F.concat_ws(" ", "host", "path").alias("key"), "action", F.concat("host", "path").alias("_rule"),
