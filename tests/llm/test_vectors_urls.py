@@ -152,6 +152,45 @@ def test_recall_on_the_table(spark):
     assert np.mean([len(got[q] & {v for _, v in best}) / 10 for q, best in want.items()]) >= 0.9
 
 
+@pytest.mark.parametrize("dims, clusters", [(64, 0), (256, 0), (768, 0), (64, 40), (256, 40), (768, 40), (3, 0)])
+def test_learned_radius_keeps_recall(dims, clusters):
+    """Radius and substrings from the sample alone, held against brute force over four times as many rows."""
+    rng = np.random.default_rng(dims + clusters)
+    x = rng.normal(size=(4000, dims))
+    if clusters:
+        x = rng.normal(size=(clusters, dims))[rng.integers(clusters, size=4000)] + 0.2 * x
+    bits = min(hamming_index.MOST_BITS, 64 * -(-dims // 64))
+    mean, projection = hamming_index.learn_rotation(x[:1000], bits)
+    code = hamming_index.codes(x, mean, projection)
+    radius = hamming_index.learn_radius(x[:1000], code[:1000], 10, hamming_index.RECALL)
+    held = []
+    for q in range(1000, 4000, 100):
+        gap = ((x - x[q]) ** 2).sum(axis=1)
+        gap[q] = np.inf
+        near = np.argsort(gap)[:10]
+        held.append((np.bitwise_count(code[near] ^ code[q]).sum(axis=1) <= radius).mean())
+    assert np.mean(held) >= 0.9  # the radius comes from a quarter of the rows
+    n = hamming_index.best_substrings(bits, radius)
+    if n:
+        share = hamming_index.shares(bits, n, radius)
+        assert sum(len(hamming_index._flips(bits // n, s)) for s in share) < 2 ** (bits // n)  # fewer pairs than a scan
+    assert not clusters or n
+
+
+@pytest.mark.parametrize("dims, clusters", [(256, 0), (96, 30)])
+def test_recall_off_the_table(spark, dims, clusters):
+    rng = np.random.default_rng(dims)
+    x = rng.normal(size=(1500, dims))
+    if clusters:
+        x = rng.normal(size=(clusters, dims))[rng.integers(clusters, size=1500)] + 0.2 * x
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    got = defaultdict(set)
+    for r in hamming_index.nearest(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 50 == 0, sample=1000).collect():
+        got[r.query_id].add(r.vec_id)
+    want = brute(rows, lambda i: i % 50 == 0, 10)
+    assert np.mean([len(got[q] & {v for _, v in best}) / 10 for q, best in want.items()]) >= 0.95
+
+
 def test_search_of_few(spark):
     assert hamming_index.nearest(spark.createDataFrame([], VECTORS), F.lit(True)).count() == 0
     got = hamming_index.nearest(spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [0.0, 1.0], 1)], VECTORS), F.col("vec_id") == 1)
@@ -194,6 +233,16 @@ def test_verdicts(spark):
     assert {r.verdict for r in nothing} == {"allow"} and url_filter.judge_urls(pages.limit(0), rules, listed).count() == 0
 
 
+def test_hosts_of_very_many_labels(spark):
+    hosts = ["a." * 50_000 + "x.net", "b." * 50_000 + "sub.example.com", "c." * 50_000 + "none", "bad.org\n"]
+    pages = spark.createDataFrame([(i, f"http://{h}/de/") for i, h in enumerate(hosts)], "page_id long, url string")
+    rules = spark.createDataFrame(RULES, "action string, host string, path string")
+    listed = spark.createDataFrame([("bad.org/de",)], "key string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(pages, rules, listed).collect()}
+    assert got == {0: ("net/", "block"), 1: ("example.com/de/", "block"), 2: (None, "allow"), 3: (None, "allow")}
+    assert {r.verdict for r in url_filter.judge_urls(pages, rules.limit(0), listed).collect()} == {"allow"}
+
+
 def test_bloom_filter_has_no_false_negative_and_the_join_no_false_positive(spark):
     listed = spark.range(500).selectExpr("concat('k', id) AS key")
     asked = spark.range(2000).selectExpr("concat('k', id) AS key")
