@@ -334,12 +334,11 @@ def near_duplicates(
     def stars(members: DataFrame) -> DataFrame:
         """(a, b, n): texts and the centre of n buckets they share, where it is of another component.
 
-        A bucket's centre is of the component with most of its members, by a hash that differs from bucket to bucket.
+        A hash that differs from bucket to bucket chooses the centre.
         """
         centres = (
-            members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("bucket", "node"), "node")).alias("c"))
-            .groupBy("bucket").agg(F.max(F.struct("n", "c", "component")).alias("top"), F.count(F.lit(1)).alias("of")).filter("of > 1")
-            .select("bucket", F.col("top.c.node").alias("b"), F.col("top.component").alias("_cb"))
+            members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64("bucket", "node"), "node", "component")).alias("c"))
+            .filter("low < high").select("bucket", F.col("c.node").alias("b"), F.col("c.component").alias("_cb"))
         )
         met = members.join(centres, (members["bucket"] == centres["bucket"]) & (members["component"] != centres["_cb"]))
         return met.groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"))
@@ -360,18 +359,22 @@ def near_duplicates(
     links = verified(best)
     links = links.unionByName(verified(stars(placed(classed(links), bands))))
 
-    # 3: families: components that some two texts of one bucket join if sketches decided.  Each bucket returns a forest.
+    # 3: families: components that some two texts of one bucket join if sketches decided.  Each bucket returns a forest; in
+    # a bucket of two texts the stars have decided the only pair.
     texts = scratch.store(classed(links))
-    members = placed(texts, bands).join(info, "node")
-    maybe = scratch.store(_joined(_cells(members, "bucket", F.lit(0), block, 1), "bucket", least, similar).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    members = placed(texts, bands)
+    live = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("n > 2 AND low < high")
+    members = scratch.store(members.join(live.select("bucket"), "bucket"))
+    cells = _cells(members, "bucket", F.lit(0), block, 1).join(info, "node")
+    maybe = scratch.store(_joined(cells, "bucket", least, similar).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
     inside = maybe.select("a").union(maybe.select("b")).distinct().toDF("component")
     families = components(maybe, scratch).withColumnRenamed("component", "family")
     families = inside.join(families, F.col("component") == F.col("id"), "left").select("component", F.coalesce("family", "component").alias("family"))
 
     # 4: inside a family the shingles decide, and each cell returns the links that join its components.
-    members = scratch.store(texts.select("node", "component").join(families, "component"))
-    members = members.join(info, "node").join(shingles(members), "node")
-    late = _joined(_cells(members, "family", F.col("weight"), block, load), "family", least, similar).select("a", "b")
+    members = scratch.store(texts.select("node", "component").join(families, "component").join(nodes.select("node", F.col("weight").alias("load")), "node"))
+    cells = _cells(members, "family", F.col("load"), block, load).join(info, "node").join(shingles(members), "node")
+    late = _joined(cells, "family", least, similar).select("a", "b")
     classes = components(links.unionByName(scratch.store(late)), scratch)
 
     grouped = nodes.select("node", "print", "first").join(classes.withColumnRenamed("id", "node"), "node", "left").withColumn(
