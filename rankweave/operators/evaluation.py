@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave.functions.text import norm_name
-from rankweave.operators.retrieval import QUERY, topk_slices
+from rankweave.operators.retrieval import QUERY
 from rankweave.operators.vocabulary import NOTE_PAIRS
 
 
@@ -143,14 +143,32 @@ def rate_by_complexity(
     ranked: DataFrame, ks: Sequence[int] = (1, 3, 5), rank_col: str = "rank", predicted: str = "disease",
     truth: str = "rare_disease_name",
 ) -> DataFrame:
-    """Per (dataset, model, k, number of classes): patients, candidate diseases, matched patients and their rate."""
-    rows = topk_slices(ranked, ks, rank_col)
-    matched = F.when(_hit(predicted, truth), F.col("patient_id"))
-    return rows.groupBy("dataset", "model", "k", "num_true_classifications").agg(
-        F.count_distinct("patient_id").alias("total_pts"),
-        F.count_distinct(predicted).alias("total_diseases"),
-        F.count_distinct(matched).alias("matched_pts"),
-    ).withColumn("match_rate", F.round(F.col("matched_pts") / F.col("total_pts"), 4))
+    """Per (dataset, model, k, number of classes): patients, candidate diseases, matched patients and their rate.
+
+    Patients and diseases are brought to the best rank of each first, so all k are counted at once and nothing is
+    counted as distinct.
+    """
+    cell = ["dataset", "model", "num_true_classifications"]
+    first, first_hit = F.min("first").alias("first"), F.min("first_hit").alias("first_hit")
+    hit_rank = F.when(_hit(predicted, truth), F.col(rank_col))
+    rows = ranked.filter(F.col(rank_col) <= max(ks)).groupBy(*cell, "patient_id", F.col(predicted).alias("_disease")).agg(
+        F.min(rank_col).alias("first"), F.min(hit_rank).alias("first_hit"))
+    patients = rows.groupBy(*cell, "patient_id").agg(first, first_hit).select(
+        *cell, F.col("patient_id").isNotNull().alias("patient"), F.lit(False).alias("disease"), "first", "first_hit")
+    diseases = rows.groupBy(*cell, "_disease").agg(first).select(
+        *cell, F.lit(False).alias("patient"), F.col("_disease").isNotNull().alias("disease"), "first", F.lit(None).alias("first_hit"))
+
+    def counts(k: int) -> Column:
+        within = F.col("first") <= k
+        return F.struct(
+            F.lit(k).alias("k"), F.bool_or(within).alias("any"), F.count_if(F.col("patient") & within).alias("total_pts"),
+            F.count_if(F.col("disease") & within).alias("total_diseases"), F.count_if(F.col("patient") & (F.col("first_hit") <= k)).alias("matched_pts"))
+
+    both = patients.unionByName(diseases).groupBy(*cell).agg(F.array(*[counts(k) for k in ks]).alias("_k"))
+    each = both.select(*cell, F.inline("_k")).filter("any")
+    return each.select(
+        "dataset", "model", "k", "num_true_classifications", "total_pts", "total_diseases", "matched_pts",
+        F.round(F.try_divide("matched_pts", "total_pts"), 4).alias("match_rate"))
 
 
 def recall_by_bucket(rates: DataFrame, max_bucket: int = 9) -> DataFrame:

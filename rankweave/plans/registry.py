@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from rankweave.functions.spans import distinct_runs
 from rankweave.functions.text import clean_markdown, first_nonempty, norm_id, norm_name, remove_links
 from rankweave.operators import citations as cite
-from rankweave.operators import cohort, concepts, context, evaluation, fusion, linking, outcomes, postings, readability, retrieval, telemetry, weekly
+from rankweave.operators import cohort, concepts, context, evaluation, fusion, linking, outcomes, postings, quantiles, readability, retrieval, telemetry, weekly
 from rankweave.operators.vocabulary import BLOCKED_NAMES, SYMPTOM_TYPES, TARGET_TYPES, TERMINOLOGIES
 from rankweave.plans import bindings as b
 from rankweave.plans.ctes import COHORT, N_TYPES, NOT_NEGATED, Q, TITLE_LIST, TYPE_LIST, quoted, sql
 from rankweave.session import remember_staged, stage, staging_dir
-from rankweave.sources import tables
+from rankweave.sources import readers, tables
 from rankweave.sources.schema import standardize
 from rankweave.streaming import index_upkeep
 from rankweave.streaming.incremental import append_new as append_rows
@@ -787,6 +787,17 @@ def score_stats(spark, sf):
     return evaluation.score_stats(_quality(spark, sf))
 
 
+@query(
+    "E14",
+    """SELECT l_returnflag, l_linestatus, count(*) AS n, round(quantile_cont(x, 0.25), 9) AS q1, round(quantile_cont(x, 0.5), 9) AS median,
+    round(quantile_cont(x, 0.99), 9) AS p99, max(x) AS most FROM (SELECT *, CAST(l_extendedprice AS DOUBLE) / l_quantity AS x FROM lineitem) GROUP BY ALL""",
+)
+def exact_quantiles(spark, sf):
+    rows = b.table(spark, sf, "lineitem").withColumn("x", F.col("l_extendedprice").cast("double") / F.col("l_quantity"))
+    found = quantiles.exact_quantiles(rows, ["l_returnflag", "l_linestatus"], "x", {"q1": 0.25, "median": 0.5, "p99": 0.99, "most": 1.0})
+    return found.withColumns({c: F.round(c, 9) for c in ("q1", "median", "p99")})
+
+
 @query(
     "E13",
     f"""SELECT source, count(DISTINCT doc_id) FILTER (WHERE is_hit) AS hit_count, count(DISTINCT doc_id) FILTER (WHERE NOT is_hit) AS miss_count,
@@ -1401,6 +1412,40 @@ def standardize_columns(spark, sf):
     return standardize(raw, aliases, ["patient_id", "dataset", "score"], {"score": "double"}, ["patient_id", "dataset"], ["score"])
 
 
+def _order_lines(spark, sf):
+    """(good, bad) of a folder of order lines into which lines of customers were put; ``file`` becomes the folder's ``dataset``."""
+    path = remember_staged(f"{staging_dir(spark)}/rankweave/lines/{uuid.uuid4().hex}")
+    line = lambda *cols: F.concat_ws(",", *[F.col(c).cast("string") for c in cols]).alias("line")
+    orders = b.table(spark, sf, "orders").select(line("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus"), F.lit("orders").alias("dataset"))
+    customers = b.table(spark, sf, "customer").select(line("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), F.lit("customer").alias("dataset"))
+    orders.unionByName(customers).write.partitionBy("dataset").text(path)
+    lines = readers.read_lines(spark, path)
+    lines = lines.select(F.regexp_extract("file", "dataset=([^/]+)/", 1).alias("dataset"), "line")
+    return readers.split_bad_lines(lines, "o_orderkey BIGINT, o_custkey BIGINT, o_totalprice DOUBLE, o_orderstatus STRING")
+
+
+@query(
+    "X1",
+    """SELECT 'orders' AS dataset, o_orderkey, o_custkey, o_totalprice, o_orderstatus, NULL AS bad_line FROM orders
+    UNION ALL SELECT 'customer', NULL, NULL, NULL, NULL, concat_ws(',', c_custkey, c_name, c_acctbal, c_mktsegment) FROM customer""",
+)
+def bad_lines_apart(spark, sf):
+    good, bad = _order_lines(spark, sf)
+    return good.unionByName(bad.withColumnRenamed("line", "bad_line"), allowMissingColumns=True)
+
+
+@query(
+    "X3",
+    """SELECT 'csv' AS model, 'orders' AS dataset, count(*) AS n_items, count(*) AS n_saved, CAST(0 AS BIGINT) AS n_skipped,
+    CAST(0 AS BIGINT) AS n_failed, count(*) AS total_rows FROM orders
+    UNION ALL SELECT 'csv', 'customer', count(*), 0, 0, count(*), 0 FROM customer""",
+)
+def bad_lines_status(spark, sf):
+    good, bad = _order_lines(spark, sf)
+    item = lambda rows, n, error: rows.select(F.lit("csv").alias("model"), "dataset", F.lit(n).alias("n_rows"), error.cast("string").alias("error"))
+    return telemetry.status_summary(item(good, 1, F.lit(None)).unionByName(item(bad, 0, F.lit("does not fit the schema"))))
+
+
 @query("X2", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders")
 def save_and_load(spark, sf):
     rows = b.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")

@@ -39,3 +39,25 @@ def with_path_keys(df: DataFrame, names: Sequence[str], depth: int = 1) -> DataF
         back = depth + len(names) - i
         out = out.withColumn(name, F.url_decode(F.get(parts, F.size(parts) - back)))
     return out
+
+
+def read_lines(spark: SparkSession, path: str | list[str], header: str | None = None) -> DataFrame:
+    """(file, line): the lines of text files, without blank ones and those equal to ``header``."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+    kept = lines.filter(F.trim("line") != "")
+    return kept if header is None else kept.filter(F.col("line") != header)
+
+
+def split_bad_lines(lines: DataFrame, schema: str, sep: str = ",") -> tuple[DataFrame, DataFrame]:
+    """(good, bad): rows typed by ``schema`` (DDL), and the lines that do not fit it, unchanged; together all lines.
+
+    A line is bad when it has fewer or more fields than the schema or a value that is not of its type.  Every line is
+    judged by all of its fields, whichever columns are read later; a scan that reads few columns would judge by these alone.
+    Other columns of ``lines``, such as ``file``, stay.  An empty field is a null; fields that hold line breaks are not supported.
+    """
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "sep": sep, "escape": '"'}
+    read = lines.withColumn("_row", F.from_csv("line", f"{schema}, _bad STRING", options))
+    fields = [F.col(f"_row.`{f.name}`") for f in read.schema["_row"].dataType if f.name != "_bad"]
+    kept = [c for c in lines.columns if c != "line"]
+    is_bad = F.col("_row._bad").isNotNull()
+    return read.filter(~is_bad).select(*kept, *fields), read.filter(is_bad).select(*kept, "line")
