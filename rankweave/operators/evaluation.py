@@ -145,28 +145,28 @@ def rate_by_complexity(
 ) -> DataFrame:
     """Per (dataset, model, k, number of classes): patients, candidate diseases, matched patients and their rate.
 
-    Patients and diseases are brought to the best rank of each first, so all k are counted at once and nothing is
-    counted as distinct.
+    Each patient and each disease of a cell is brought to its best ranks first, so all k are counted at once and nothing
+    is counted as distinct.
     """
     cell = ["dataset", "model", "num_true_classifications"]
-    first, first_hit = F.min("first").alias("first"), F.min("first_hit").alias("first_hit")
-    hit_rank = F.when(_hit(predicted, truth), F.col(rank_col))
-    rows = ranked.filter(F.col(rank_col) <= max(ks)).groupBy(*cell, "patient_id", F.col(predicted).alias("_disease")).agg(
-        F.min(rank_col).alias("first"), F.min(hit_rank).alias("first_hit"))
-    patients = rows.groupBy(*cell, "patient_id").agg(first, first_hit).select(
-        *cell, F.col("patient_id").isNotNull().alias("patient"), F.lit(False).alias("disease"), "first", "first_hit")
-    diseases = rows.groupBy(*cell, "_disease").agg(first).select(
-        *cell, F.lit(False).alias("patient"), F.col("_disease").isNotNull().alias("disease"), "first", F.lit(None).alias("first_hit"))
+    rank, hit_rank = F.col(rank_col), F.when(_hit(predicted, truth), F.col(rank_col))
+    pairs = ranked.filter(rank <= max(ks)).groupBy(*cell, "patient_id", F.col(predicted).alias("_disease")).agg(
+        F.min(rank).alias("first"), F.min(hit_rank).alias("first_hit"))
+    one = lambda kind, name: F.struct(F.lit(kind).alias("kind"), F.col(name).cast("string").alias("name"))
+    each = pairs.withColumn("_of", F.explode(F.array(one("patient", "patient_id"), one("disease", "_disease"))))
+    best = each.groupBy(*cell, F.col("_of.kind").alias("kind"), F.col("_of.name").alias("name")).agg(
+        F.min("first").alias("first"), F.min("first_hit").alias("first_hit"))
 
     def counts(k: int) -> Column:
-        within = F.col("first") <= k
+        within, named = F.col("first") <= k, F.col("name").isNotNull()
+        patient = named & (F.col("kind") == "patient")
         return F.struct(
-            F.lit(k).alias("k"), F.bool_or(within).alias("any"), F.count_if(F.col("patient") & within).alias("total_pts"),
-            F.count_if(F.col("disease") & within).alias("total_diseases"), F.count_if(F.col("patient") & (F.col("first_hit") <= k)).alias("matched_pts"))
+            F.lit(k).alias("k"), F.bool_or(within).alias("any"), F.count_if(patient & within).alias("total_pts"),
+            F.count_if(named & (F.col("kind") == "disease") & within).alias("total_diseases"),
+            F.count_if(patient & (F.col("first_hit") <= k)).alias("matched_pts"))
 
-    both = patients.unionByName(diseases).groupBy(*cell).agg(F.array(*[counts(k) for k in ks]).alias("_k"))
-    each = both.select(*cell, F.inline("_k")).filter("any")
-    return each.select(
+    cells = best.groupBy(*cell).agg(F.array(*[counts(k) for k in ks]).alias("_k")).select(*cell, F.inline("_k")).filter("any")
+    return cells.select(
         "dataset", "model", "k", "num_true_classifications", "total_pts", "total_diseases", "matched_pts",
         F.round(F.try_divide("matched_pts", "total_pts"), 4).alias("match_rate"))
 

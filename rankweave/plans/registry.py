@@ -20,6 +20,7 @@ from rankweave.session import remember_staged, stage, staging_dir
 from rankweave.sources import readers, tables
 from rankweave.sources.schema import standardize
 from rankweave.streaming import index_upkeep
+from rankweave.streaming.files import append_files
 from rankweave.streaming.incremental import append_new as append_rows
 from rankweave.streaming.incremental import new_rows
 
@@ -1325,6 +1326,20 @@ def append_schema_change(spark, sf):
     return stored
 
 
+@query("L10", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders")
+def append_files_stream(spark, sf):
+    """Orders come as files in two portions that overlap in status 'O'; each portion is one run of the stream."""
+    home = remember_staged(f"{staging_dir(spark)}/rankweave/{uuid.uuid4().hex}")
+    database = f"rankweave_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{home}/tables'")
+    orders = b.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    schema = "o_orderkey BIGINT, o_custkey BIGINT, o_totalprice DOUBLE, o_orderstatus STRING"
+    for portion in ("o_orderstatus <> 'F'", "o_orderstatus <> 'P'"):
+        orders.filter(portion).write.mode("append").json(f"{home}/files")
+        stored = append_files(spark, f"{home}/files", schema, f"{database}.orders", ["o_orderkey"], f"{home}/taken")
+    return stored
+
+
 @query(
     "R2",
     f"""SELECT r.*, m.matched_cuis FROM sparse r LEFT JOIN (

@@ -116,3 +116,26 @@ def test_relations(spark):
     got = {r["relation_type"]: (r["case_count"], r["percentage"]) for r in e.relation_distribution(df, {"merged": ("etiologic", "etiological")}).collect()}
     assert got == {"merged": (3, 75.0), "other": (1, 25.0)}
     assert e.relation_pairs(df, "etiologic").count() == 1
+
+
+def test_rate_by_complexity_equals_distinct_counts(spark):
+    import random
+
+    draw = random.Random(3)
+    rows = [
+        (draw.choice(["m", "n"]), draw.choice(["PubMed", "hms", None]), draw.choice(["1", "2", "3", None]), draw.choice(["Gout", "Flu", "flu", None]),
+         draw.choice([1, 2, 3, 4, 5, 9, None]), draw.choice(["gout", "FLU", None]), draw.choice([1, 2]))
+        for _ in range(150)
+    ]
+    table = spark.createDataFrame(rows, FUSED.replace("final_rank", "rank") + ", num_true_classifications int")
+    want = set()
+    for k in (1, 3, 5):
+        for cell in {(r[1], r[0], r[6]) for r in rows if r[4] and r[4] <= k}:
+            mine = [r for r in rows if (r[1], r[0], r[6]) == cell and r[4] and r[4] <= k]
+            patients = {r[2] for r in mine} - {None}
+            matched = {r[2] for r in mine if r[3] and r[5] and r[3].lower() == r[5].lower()} - {None}
+            rate = round(len(matched) / len(patients), 4) if patients else None
+            want.add((cell[0], cell[1], k, cell[2], len(patients), len({r[3] for r in mine} - {None}), len(matched), rate))
+    assert {tuple(r) for r in e.rate_by_complexity(table).collect()} == want
+    plan = e.rate_by_complexity(table)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan
