@@ -129,10 +129,11 @@ def keep_bitmaps(docs: DataFrame, shortest: int = SHORTEST, id_col: str = "doc_i
         "h1", "h2", F.col("doc_id").asc_nulls_last(), "_rh")
     streamed = scratch.store(_streamed(ordered))
     waits = streamed.filter("not drop")
-    # Each partition names at most two keys, its first and its last; all waiting rows are of such keys.
+    # Each partition names at most two keys, its first and its last, and all waiting rows are of such keys: holders has at
+    # most two rows per partition of the shuffle and is broadcast, so the rows of a common line stay where they are.
     holders = waits.groupBy("h1", "h2").agg(
         F.min("doc_id").alias("_holder"), F.count(F.lit(1)).alias("_rows")).filter("_rows > 1").drop("_rows")
-    settled = waits.join(holders, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("_holder"))).drop("_holder")
+    settled = waits.join(F.broadcast(holders), ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("_holder"))).drop("_holder")
     # A run's first row may stand among the waiting rows and, where its partition did know a smaller holder, be dropped
     # already; repeated positions make no difference.
     lost = (
