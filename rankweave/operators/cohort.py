@@ -10,11 +10,17 @@ from pyspark.sql import functions as F
 GROUPS = ("case", "control")
 
 
-def cohort_counts(notes: DataFrame) -> DataFrame:
+def cohort_counts(notes: DataFrame, sets: DataFrame | None = None) -> DataFrame:
     """Per (model, group): distinct note-concept pairs, persons, notes.
 
     Deduplicated in two steps of one distinct each, so no group is counted by a single task.
+
+    With ``sets`` (model, CUI) the notes have no model yet, and each counts for all models whose set holds its concept.  The
+    notes are then not multiplied by the models: notes and persons are counted by the set of their concepts first,
+    and only each different set meets the models.
     """
+    if sets is not None:
+        return _counts_by_sets(notes, sets.select("model", "CUI").distinct())
     pairs = notes.groupBy("model", "group", "person_id", "note_id", "CUI").agg(F.lit(1).alias("one"))
     per_note = pairs.groupBy("model", "group", "person_id", "note_id").agg(F.count("*").alias("concepts"))
     per_person = per_note.groupBy("model", "group", "person_id").agg(
@@ -25,6 +31,22 @@ def cohort_counts(notes: DataFrame) -> DataFrame:
     )
 
 
+def _counts_by_sets(notes: DataFrame, sets: DataFrame) -> DataFrame:
+    known = notes.filter(F.col("CUI").isNotNull())  # no set holds a null
+    found = F.array_sort(F.collect_set("CUI")).alias("held")
+    per_note = known.groupBy("group", "person_id", "note_id").agg(found)
+    note_kinds = per_note.groupBy("group", "held").agg(F.count("*").alias("notes"))
+    per_person = known.select("group", "person_id", "CUI").distinct().groupBy("group", "person_id").agg(found)
+    person_kinds = per_person.groupBy("group", "held").agg(F.count("*").alias("persons"))
+    kinds = note_kinds.select("group", "held", "notes", F.lit(0).cast("long").alias("persons")).unionByName(
+        person_kinds.select("group", "held", F.lit(0).cast("long").alias("notes"), "persons"))
+    kinds = kinds.groupBy("group", "held").agg(F.sum("notes").alias("notes"), F.sum("persons").alias("persons"))
+    # one row per kind and model, with how many of the kind's concepts the model has
+    met = kinds.withColumn("CUI", F.explode("held")).join(sets, "CUI").groupBy("model", "group", "held", "notes", "persons").agg(F.count("*").alias("shared"))
+    return met.groupBy("model", "group").agg(
+        F.sum(F.col("shared") * F.col("notes")).alias("total_concepts"), F.sum("persons").alias("total_persons"), F.sum("notes").alias("total_notes"))
+
+
 def case_control_table(counts: DataFrame, groups: Sequence[str] = GROUPS) -> DataFrame:
     """Counts as case / control columns with differences and concepts per note."""
     measures = ("total_concepts", "total_persons", "total_notes")

@@ -1022,8 +1022,8 @@ def person_features(spark, sf):
     return weekly.person_features(_features(spark, sf))
 
 
-def _grouped_notes(spark, sf, once=()):
-    kept = concepts.context_filter(b.notes(spark, sf), b.model_concepts(spark, sf), once=once)
+def _grouped_notes(spark, sf):
+    kept = concepts.context_filter(b.notes(spark, sf), b.model_concepts(spark, sf))
     return kept.join(b.persons(spark, sf).select("person_id", "group"), "person_id")
 
 
@@ -1034,9 +1034,16 @@ COUNTS_SQL = """SELECT model, "group", count(DISTINCT (note_id, CUI)) AS total_c
 NOTE_PAIR = ("person_id", "note_id", "CUI")
 
 
+def _cohort_counts(spark, sf):
+    """The concept sets of the models meet the notes inside the count, which needs no row per note and model."""
+    kept = concepts.context_filter(b.notes(spark, sf), None, once=NOTE_PAIR)
+    grouped = kept.join(b.persons(spark, sf).select("person_id", "group"), "person_id")
+    return cohort.cohort_counts(grouped, b.model_concepts(spark, sf))
+
+
 @query("T10", COUNTS_SQL)
 def cohort_counts(spark, sf):
-    return cohort.cohort_counts(_grouped_notes(spark, sf, NOTE_PAIR))
+    return _cohort_counts(spark, sf)
 
 
 def _case_control_sql() -> str:
@@ -1053,7 +1060,7 @@ def _case_control_sql() -> str:
 
 @query("T10", _case_control_sql())
 def case_control_table(spark, sf):
-    return cohort.case_control_table(cohort.cohort_counts(_grouped_notes(spark, sf, NOTE_PAIR)))
+    return cohort.case_control_table(_cohort_counts(spark, sf))
 
 
 @query(
