@@ -15,7 +15,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.operators.retrieval import weighted
+from rankweave.operators.retrieval import looked_up, weighted
 
 DONE = "_done"
 TERMS, CONCEPTS, DISEASES = "terms", "concepts", "diseases"
@@ -57,7 +57,7 @@ def add_batch(mentions: DataFrame, path: str, batch: str) -> list[str]:
     if known:
         rows = rows.join(_part(spark, path, known, DISEASES).select(*keys), keys, "left_anti")
     at = f"{path}/{batch}"
-    names = [F.min(c).alias(c) for c in ("UMLS_name", "semantic_type_name")]
+    spelled = ("UMLS_name", "semantic_type_name")
     # one pass over the mentions; the other two tables are made of this one
     terms = rows.groupBy(*keys, "CUI", "UMLS_name", "semantic_type_name").agg(F.count(F.lit(1)).alias("n"))
     terms.write.mode("overwrite").parquet(f"{at}/spellings")
@@ -65,9 +65,11 @@ def add_batch(mentions: DataFrame, path: str, batch: str) -> list[str]:
     lengths = terms.groupBy(*keys).agg(F.sum("n").alias("doc_len"))
     lengths.write.mode("overwrite").parquet(f"{at}/{DISEASES}")
     counts = terms.groupBy(*keys, "CUI").agg(F.sum("n").alias("tf"))
-    counts.join(spark.read.schema(lengths.schema).parquet(f"{at}/{DISEASES}"), keys).write.mode("overwrite").parquet(f"{at}/{TERMS}")
+    looked_up(counts, spark.read.schema(lengths.schema).parquet(f"{at}/{DISEASES}"), keys).write.mode("overwrite").parquet(f"{at}/{TERMS}")
     df = counts.groupBy("model", "CUI").agg(F.count(F.lit(1)).alias("df"))
-    df.join(terms.groupBy("model", "CUI").agg(*names), ["model", "CUI"]).write.mode("overwrite").parquet(f"{at}/{CONCEPTS}")
+    # the different spellings first, by hashing and map-side: string minima over all rows would sort them
+    names = terms.select("model", "CUI", *spelled).distinct().groupBy("model", "CUI").agg(*[F.min(c).alias(c) for c in spelled])
+    looked_up(df, names, ["model", "CUI"]).write.mode("overwrite").parquet(f"{at}/{CONCEPTS}")
     mark, files = _files(spark, f"{at}/{DONE}")
     files.create(mark, True).close()
     return batches(spark, path)
@@ -82,4 +84,5 @@ def read_index(spark: SparkSession, path: str, k1: float = 1.5, b: float = 0.75,
     totals = _part(spark, path, names, DISEASES).groupBy("model").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_doc_len"))
     concepts = _part(spark, path, names, CONCEPTS).groupBy("model", "CUI").agg(
         F.sum("df").alias("df"), F.min("UMLS_name").alias("UMLS_name"), F.min("semantic_type_name").alias("semantic_type_name"))
-    return weighted(_part(spark, path, names, TERMS).join(concepts, ["model", "CUI"]).join(totals, "model"), k1, b)
+    terms = looked_up(_part(spark, path, names, TERMS), concepts, ["model", "CUI"])
+    return weighted(terms.join(F.broadcast(totals), "model"), k1, b)
