@@ -80,10 +80,11 @@ def context_filter(
 
 
 def _kept_types(mentions: DataFrame, min_sim: float) -> DataFrame:
-    """Mentions above the threshold and not negated, one row per semantic type."""
-    return mentions.filter((F.col("similarity") >= min_sim) & ~is_negated(F.col("UMLS_name"))).withColumn(
-        "semantic_type", F.explode(split_trim(F.col("semantic_type_name"), r"\|"))
-    )
+    """Mentions above the threshold and not negated, one row per semantic type; only lists of types are split."""
+    names = F.col("semantic_type_name")
+    types = F.when(F.contains(names, F.lit("|")), split_trim(names, r"\|")).when(names.isNotNull(), F.array(F.trim(names)))
+    kept = mentions.filter((F.col("similarity") >= min_sim) & ~is_negated(F.col("UMLS_name")))
+    return kept.withColumn("semantic_type", F.explode(types))
 
 
 def semantic_group(c: Column, groups: Mapping[str, Sequence[str]] = SEMANTIC_GROUPS) -> Column:
