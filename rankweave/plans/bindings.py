@@ -22,6 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parts(spark: SparkSession, sf_dir: str, name: str, rows: int = 250_000) -> int:
+    """Partitions for what has a row per row of the table, so that each gets about ``rows``; counted in the files' footers."""
+    return max(spark.sparkContext.defaultParallelism, -(-table(spark, sf_dir, name).count() // rows))
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents, dealt out evenly: a file of a single row group is one scan task, however long its texts are."""
     return table(spark, sf_dir, "documents").select("doc_id", "lang", "text").hint("rebalance")
@@ -249,13 +254,14 @@ def model_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_notes(spark: SparkSession, sf_dir: str, symptom: str) -> DataFrame:
     """Order lines as dense notes: person = customer, symptom = a part attribute, date = order date."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    parts = table(spark, sf_dir, "part").select("p_partkey", F.col(symptom).alias("umls_name"))
+    dealt = parts(spark, sf_dir, "lineitem")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity").repartition(dealt, "l_orderkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate").repartition(dealt, "o_orderkey")
+    kinds = table(spark, sf_dir, "part").select("p_partkey", F.col(symptom).alias("umls_name"))
     quantity = F.col("l_quantity")
     return (
         lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"])
-        .join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        .join(kinds, F.col("l_partkey") == F.col("p_partkey"))
         .select(
             F.col("o_custkey").alias("person_id"), (F.col("o_orderkey") * 10 + F.col("l_linenumber")).alias("note_id"),
             F.col("o_orderdate").alias("note_date"), F.col("umls_name").alias("CUI"), "umls_name",

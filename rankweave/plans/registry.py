@@ -860,7 +860,12 @@ def _weekly(spark, sf):
 
 def _weekly_stored(spark, sf):
     """The weekly table, kept for plans that read it several times."""
-    return _weekly(spark, sf).persist()
+    return weekly.dealt_by_person(_weekly(spark, sf), b.parts(spark, sf, "events"))
+
+
+def _order_weekly_stored(spark, sf, symptom):
+    parts = b.parts(spark, sf, "lineitem")
+    return weekly.dealt_by_person(weekly.weekly_dedupe(b.order_notes(spark, sf, symptom), parts=parts), parts)
 
 
 def _before(rows, spark, sf):
@@ -868,8 +873,13 @@ def _before(rows, spark, sf):
     return grid.filter(F.col("before_after_dx") == "before")
 
 
+def _supported(rows):
+    """The supported pairs, kept: they are counted before they are sent."""
+    return weekly.supported_pairs(weekly.pair_cooccurrence(rows)).persist()
+
+
 def _states(rows, spark, sf):
-    return weekly.pair_states(_before(rows, spark, sf), weekly.supported_pairs(weekly.pair_cooccurrence(rows)))
+    return weekly.pair_states(_before(rows, spark, sf), _supported(rows))
 
 
 def _importance(rows, spark, sf):
@@ -912,7 +922,7 @@ def pair_cooccurrence(spark, sf):
     JOIN (SELECT s AS symptom_1, count(*) AS n FROM wk GROUP BY ALL) t USING (symptom_1)""",
 )
 def pair_cooccurrence_orders(spark, sf):
-    return weekly.pair_cooccurrence(weekly.weekly_dedupe(b.order_notes(spark, sf, "p_brand")))
+    return weekly.pair_cooccurrence(_order_weekly_stored(spark, sf, "p_brand"))
 
 
 @query(
@@ -949,8 +959,8 @@ def pair_states(spark, sf):
     WHERE next_state IS NOT NULL GROUP BY ALL""",
 )
 def pair_transitions_orders(spark, sf):
-    rows = weekly.weekly_dedupe(b.order_notes(spark, sf, "p_type")).persist()
-    states = weekly.pair_states(weekly.weekly_grid(rows), weekly.supported_pairs(weekly.pair_cooccurrence(rows)))
+    rows = _order_weekly_stored(spark, sf, "p_type")
+    states = weekly.pair_states(weekly.weekly_grid(rows), _supported(rows))
     return states.groupBy("symptom_1", "symptom_2", "joint_state", "next_state").agg(
         F.count("*").alias("n"), F.count_distinct("person_id").alias("n_persons")
     )
