@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +15,7 @@ from rankweave.functions.text import split_trim
 SCORE_DIGITS = 6
 
 
+Store = Callable[[DataFrame], DataFrame]  # stores a table and returns what was stored
 SENT = 500_000  # concepts of queries that are sent to the postings; more of them meet the postings by a shuffle
 
 
@@ -48,24 +49,56 @@ def _concepts(variants: DataFrame, terms: DataFrame) -> DataFrame:
     return looked_up(df, names, ["model", "CUI"])
 
 
+def term_table(mentions: DataFrame, spelled: Sequence[str] = ("UMLS_name", "semantic_type_name"), lengths: bool = False) -> DataFrame:
+    """tf and the smallest of each of ``spelled`` per (model, disease, CUI); with ``lengths`` also doc_len, by the same sort.
+
+    Mentions that are dealt by (model, disease) are not moved for it.  String minima sort their rows: the hash in front decides
+    most comparisons without reading the keys, and leaves the terms disease by disease, which the next shuffle packs well.
+    """
+    keys = ["model", "disease", "CUI"]
+    known = F.col("model").isNotNull() & F.col("disease").isNotNull() & F.col("CUI").isNotNull()
+    smallest = [F.min(c).alias(c) for c in spelled]
+    terms = mentions.filter(known).groupBy(F.xxhash64("model", "disease").alias("_doc"), *keys).agg(F.count(F.lit(1)).alias("tf"), *smallest)
+    if lengths:
+        terms = terms.withColumn("doc_len", F.sum("tf").over(Window.partitionBy("_doc", "model", "disease")))
+    return terms.drop("_doc")
+
+
+def concept_table(terms: DataFrame, spelled: Sequence[str] = ("UMLS_name", "semantic_type_name")) -> DataFrame:
+    """df, and one name and type (the smallest of each), per (model, CUI) of a :func:`term_table`; combined map-side.
+
+    A hash in front decides almost every comparison of the sort that string minima need.
+    """
+    counts = [F.count(F.lit(1)).alias("df"), *[F.min(c).alias(c) for c in spelled]]
+    return terms.groupBy(F.xxhash64("model", "CUI").alias("_concept"), "model", "CUI").agg(*counts).drop("_concept")
+
+
 def looked_up(terms: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
     """Each term with its one row of ``small``, which is hashed by partition, so that the many terms are not sorted."""
     return terms.join(small.hint("shuffle_hash"), keys)
 
 
-def bm25_index(mentions: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def bm25_index(mentions: DataFrame, k1: float = 1.5, b: float = 0.75, store: Store | None = None) -> DataFrame:
     """BM25 weight of every (model, disease, CUI).
 
     ``idf = ln((N + 1) / (df + 0.5))``, ``bm25 = idf * tf*(k1+1) / (tf + k1*(1 - b + b*doc_len/avg_doc_len))`` with
     N and avg_doc_len per model.  Document length, df and the model totals are aggregates of one term table, joined
     by key.  One name per concept: the smallest within the model.
+
+    With ``store`` (such as :func:`rankweave.session.stage`) the term table is stored when the plan is built: the mentions are
+    read once, and of the terms only what the caller reads is moved, once, to the concepts.
     """
-    variants = _variants(mentions)
-    terms = _term_table(variants)
-    lengths = _lengths(terms)
+    if store:
+        terms = store(term_table(mentions, lengths=True))
+        lengths = terms.select("model", "disease", "doc_len").distinct()
+        with_lengths, concepts = terms.select("model", "disease", "CUI", "tf", "doc_len"), concept_table(terms)
+    else:
+        variants = _variants(mentions)
+        terms = _term_table(variants)
+        lengths = _lengths(terms)
+        with_lengths, concepts = looked_up(terms, lengths, ["model", "disease"]), _concepts(variants, terms)
     totals = lengths.groupBy("model").agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_doc_len"))
-    with_lengths = looked_up(terms, lengths, ["model", "disease"])
-    joined = looked_up(with_lengths, _concepts(variants, terms), ["model", "CUI"]).join(F.broadcast(totals), "model")  # one row per model
+    joined = looked_up(with_lengths, concepts, ["model", "CUI"]).join(F.broadcast(totals), "model")  # one row per model
     return weighted(joined, k1, b)
 
 
@@ -87,13 +120,20 @@ def weighted(joined: DataFrame, k1: float, b: float) -> DataFrame:
     )
 
 
-def tfidf(mentions: DataFrame) -> DataFrame:
-    """``tf * ln(N / df)`` per (model, disease, CUI), N = diseases of the model."""
-    variants = _variants(mentions, ["UMLS_name"])
-    terms = _term_table(variants)
-    totals = _lengths(terms).groupBy("model").agg(F.count("doc_len").alias("n_docs"))  # reads n, like the other branches
+def tfidf(mentions: DataFrame, store: Store | None = None) -> DataFrame:
+    """``tf * ln(N / df)`` per (model, disease, CUI), N = diseases of the model; ``store`` as for :func:`bm25_index`."""
+    spelled = ["UMLS_name"]
+    if store:
+        terms = store(term_table(mentions, spelled))
+        totals = terms.select("model", "disease").distinct().groupBy("model").agg(F.count("*").alias("n_docs"))
+        terms, concepts = terms.select("model", "disease", "CUI", "tf"), concept_table(terms, spelled)
+    else:
+        variants = _variants(mentions, spelled)
+        terms = _term_table(variants)
+        totals = _lengths(terms).groupBy("model").agg(F.count("doc_len").alias("n_docs"))  # reads n, like the other branches
+        concepts = _concepts(variants, terms)
     return (
-        looked_up(terms, _concepts(variants, terms), ["model", "CUI"])
+        looked_up(terms, concepts, ["model", "CUI"])
         .join(F.broadcast(totals), "model")
         .select(
             "model", "disease", "CUI", "UMLS_name", (F.col("tf") * F.log(F.col("n_docs") / F.col("df"))).alias("tfidf")
@@ -133,7 +173,7 @@ def bm25_match(
 ) -> DataFrame:
     """Top ``k`` diseases per (model, dataset, patient) by ``bm25_sum desc, shared_cui_count desc, disease``.
 
-    ``queries``: dataset, patient_id, CUI (see :func:`query_concepts`); ``index``: a stored :func:`bm25_index`.
+    ``queries``: dataset, patient_id, CUI (see :func:`query_concepts`); ``index``: a :func:`bm25_index`, which is read once.
 
     A frequent concept sits in a large share of the diseases, so joining it pairs nearly every patient with nearly
     every disease.  The exact top k is found without these pairs:

@@ -35,13 +35,17 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- text: documents and benchmark
 
 
-def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One mention per word of every document: knowledge source = language, disease = document."""
-    ws = words(F.col("text"))
-    docs = texts(spark, sf_dir).select("doc_id", "lang", ws.alias("ws"))
+def mentions(spark: SparkSession, sf_dir: str, clustered: bool = False) -> DataFrame:
+    """One mention per word of every document: knowledge source = language, disease = document.
+
+    With ``clustered`` the texts are dealt out by (model, disease), which the mentions inherit: what groups them so moves nothing.
+    """
+    named = [F.col("lang").alias("model"), F.col("doc_id").cast("string").alias("disease"), "text"]
+    whole = table(spark, sf_dir, "documents").select(*named).repartition("model", "disease") if clustered else texts(spark, sf_dir).select(*named)
+    docs = whole.select("model", "disease", words(F.col("text")).alias("ws"))
     # the word before comes from the shifted array, so no array travels with the exploded rows
     shifted = F.concat(F.array(F.lit("")), F.col("ws"))
-    rows = docs.select("doc_id", "lang", F.posexplode(F.arrays_zip("ws", shifted.alias("before"))).alias("i", "w")).filter(
+    rows = docs.select("model", "disease", F.posexplode(F.arrays_zip("ws", shifted.alias("before"))).alias("i", "w")).filter(
         F.col("w.ws").isNotNull()
     )
     word, before = F.col("w.ws"), F.col("w.before")
@@ -53,8 +57,8 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.right(word, F.lit(1)).isin(*"aeiou"), F.concat(F.lit("| "), F.element_at(types, F.least(size + 7, F.lit(len(TYPES)))))
     ).otherwise("")
     return rows.select(
-        F.col("lang").alias("model"),
-        F.col("doc_id").cast("string").alias("disease"),
+        "model",
+        "disease",
         F.expr("i div 512").cast("int").alias("chunk_index"),
         F.when(before.isin("no", "not", "without"), F.concat_ws(" ", before, word)).otherwise(word).alias("UMLS_name"),
         F.concat(F.lit("C_"), word).alias("CUI"),

@@ -50,8 +50,8 @@ def query(unit: str, body: str | None = None) -> Callable[[Plan], Plan]:
 # ---------------------------------------------------------------- concepts
 
 
-def _kept(spark: SparkSession, sf: str) -> DataFrame:
-    return concepts.concept_filter(b.mentions(spark, sf))
+def _kept(spark: SparkSession, sf: str, clustered: bool = False) -> DataFrame:
+    return concepts.concept_filter(b.mentions(spark, sf, clustered))
 
 
 def _grouped(spark: SparkSession, sf: str) -> DataFrame:
@@ -342,7 +342,7 @@ def concept_count_stats(spark, sf):
 
 
 def _text_index(spark, sf):
-    return retrieval.bm25_index(_kept(spark, sf))
+    return retrieval.bm25_index(_kept(spark, sf, clustered=True), store=stage)
 
 
 @query("R1", "SELECT model, disease, CUI, UMLS_name, semantic_type_name, tf, df, round(idf, 6) AS idf, round(bm25, 6) AS bm25 FROM text_index")
