@@ -501,7 +501,7 @@ def rerank_input_stats(spark, sf):
     JOIN (SELECT model, count(DISTINCT disease) AS n FROM kept GROUP BY ALL) USING (model)""",
 )
 def tfidf(spark, sf):
-    return retrieval.tfidf(_kept(spark, sf)).withColumn("tfidf", F.round("tfidf", 6))
+    return retrieval.tfidf(_kept(spark, sf, clustered=True), store=stage).withColumn("tfidf", F.round("tfidf", 6))
 
 
 @query(

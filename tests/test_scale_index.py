@@ -40,3 +40,10 @@ def test_dealt_mentions_are_not_moved_for_their_terms(spark):
     assert len(re.findall(r"\bExchange\b", _plan(terms))) == 1
     assert {(r.disease, r.CUI, r.tf, r.doc_len) for r in terms.filter("model = 'm'").collect()} == {
         ("d1", "a", 2, 3), ("d1", "b", 1, 3), ("d2", "a", 1, 1), ("d3", "c", 1, 1)}
+
+
+def test_tfidf_reads_the_mentions_once(spark):
+    mentions = spark.createDataFrame(ROWS, MENTIONS)
+    rows = retrieval.tfidf(mentions, store=stage)
+    assert not _read_again(rows)
+    assert sorted(map(str, rows.collect())) == sorted(map(str, retrieval.tfidf(mentions).collect()))
