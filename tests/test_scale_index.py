@@ -47,3 +47,11 @@ def test_tfidf_reads_the_mentions_once(spark):
     rows = retrieval.tfidf(mentions, store=stage)
     assert not _read_again(rows)
     assert sorted(map(str, rows.collect())) == sorted(map(str, retrieval.tfidf(mentions).collect()))
+
+
+def test_matching_keeps_the_postings_it_asks_for(spark):
+    index = retrieval.bm25_index(spark.createDataFrame(ROWS, MENTIONS))
+    queries = spark.createDataFrame([("s", "p", "a"), ("s", "p", "c")], QUERIES)
+    ranked = retrieval.bm25_match(queries, index)
+    assert re.search(r"InMemoryTableScan \[[^\]]*bm25#", _plan(ranked))
+    assert [(r.disease, r.shared_cui_count) for r in ranked.filter("model = 'm'").orderBy("rank").collect()] == [("d3", 1), ("d2", 1), ("d1", 1)]
