@@ -55,3 +55,11 @@ def test_matching_keeps_the_postings_it_asks_for(spark):
     ranked = retrieval.bm25_match(queries, index)
     assert re.search(r"InMemoryTableScan \[[^\]]*bm25#", _plan(ranked))
     assert [(r.disease, r.shared_cui_count) for r in ranked.filter("model = 'm'").orderBy("rank").collect()] == [("d3", 1), ("d2", 1), ("d1", 1)]
+
+
+def test_matching_blocks_keeps_the_postings_it_asks_for(spark):
+    index = retrieval.bm25_index(spark.createDataFrame(ROWS, MENTIONS))
+    queries = spark.createDataFrame([("s", "p", "a"), ("s", "p", "c")], QUERIES)
+    ranked = postings.match_blocks(queries, postings.posting_blocks(index))
+    assert re.search(r"InMemoryTableScan \[[^\]]*bm25#", _plan(ranked))
+    assert sorted(map(tuple, ranked.collect())) == sorted(map(tuple, retrieval.bm25_match(queries, index).collect()))
