@@ -395,7 +395,7 @@ def bm25_match_blocks(spark, sf):
 def bm25_index_upkeep(spark, sf):
     """Three batches of diseases, one after the other; the third changes the weights of the first."""
     path = remember_staged(f"{staging_dir(spark)}/index-{uuid.uuid4().hex}")
-    mentions = _kept(spark, sf)
+    mentions = _kept(spark, sf, clustered=True)
     for i in range(3):
         index_upkeep.add_batch(mentions.filter(F.pmod(F.xxhash64("disease"), F.lit(3)) == i), path, f"batch-{i}")
     return index_upkeep.read_index(spark, path).withColumn("idf", F.round("idf", 6)).withColumn("bm25", F.round("bm25", 6))

@@ -15,7 +15,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.operators.retrieval import weighted
+from rankweave.operators.retrieval import concept_table, looked_up, term_table, weighted
 
 DONE = "_done"
 TERMS, CONCEPTS, DISEASES = "terms", "concepts", "diseases"
@@ -54,20 +54,15 @@ def add_batch(mentions: DataFrame, path: str, batch: str) -> list[str]:
         return known
     keys = ["model", "disease"]
     rows = mentions.select(*keys, "CUI", "UMLS_name", "semantic_type_name").dropna(subset=[*keys, "CUI"])
-    if known:
-        rows = rows.join(_part(spark, path, known, DISEASES).select(*keys), keys, "left_anti")
+    if known:  # the names are hashed by partition, so that the mentions are not sorted for them
+        rows = rows.join(_part(spark, path, known, DISEASES).select(*keys).hint("shuffle_hash"), keys, "left_anti")
     at = f"{path}/{batch}"
-    names = [F.min(c).alias(c) for c in ("UMLS_name", "semantic_type_name")]
     # one pass over the mentions; the other two tables are made of this one
-    terms = rows.groupBy(*keys, "CUI", "UMLS_name", "semantic_type_name").agg(F.count(F.lit(1)).alias("n"))
-    terms.write.mode("overwrite").parquet(f"{at}/spellings")
-    terms = spark.read.schema(terms.schema).parquet(f"{at}/spellings")
-    lengths = terms.groupBy(*keys).agg(F.sum("n").alias("doc_len"))
-    lengths.write.mode("overwrite").parquet(f"{at}/{DISEASES}")
-    counts = terms.groupBy(*keys, "CUI").agg(F.sum("n").alias("tf"))
-    counts.join(spark.read.schema(lengths.schema).parquet(f"{at}/{DISEASES}"), keys).write.mode("overwrite").parquet(f"{at}/{TERMS}")
-    df = counts.groupBy("model", "CUI").agg(F.count(F.lit(1)).alias("df"))
-    df.join(terms.groupBy("model", "CUI").agg(*names), ["model", "CUI"]).write.mode("overwrite").parquet(f"{at}/{CONCEPTS}")
+    terms = term_table(rows, lengths=True)
+    terms.write.mode("overwrite").parquet(f"{at}/{TERMS}")
+    terms = spark.read.schema(terms.schema).parquet(f"{at}/{TERMS}")
+    terms.select(*keys, "doc_len").distinct().write.mode("overwrite").parquet(f"{at}/{DISEASES}")
+    concept_table(terms).write.mode("overwrite").parquet(f"{at}/{CONCEPTS}")
     mark, files = _files(spark, f"{at}/{DONE}")
     files.create(mark, True).close()
     return batches(spark, path)
@@ -80,6 +75,7 @@ def read_index(spark: SparkSession, path: str, k1: float = 1.5, b: float = 0.75,
     if not names:
         raise ValueError(f"no finished batch in {path}")
     totals = _part(spark, path, names, DISEASES).groupBy("model").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_doc_len"))
-    concepts = _part(spark, path, names, CONCEPTS).groupBy("model", "CUI").agg(
+    concepts = _part(spark, path, names, CONCEPTS).groupBy(F.xxhash64("model", "CUI").alias("_concept"), "model", "CUI").agg(
         F.sum("df").alias("df"), F.min("UMLS_name").alias("UMLS_name"), F.min("semantic_type_name").alias("semantic_type_name"))
-    return weighted(_part(spark, path, names, TERMS).join(concepts, ["model", "CUI"]).join(totals, "model"), k1, b)
+    terms = _part(spark, path, names, TERMS).select("model", "disease", "CUI", "tf", "doc_len")
+    return weighted(looked_up(terms, concepts.drop("_concept"), ["model", "CUI"]).join(F.broadcast(totals), "model"), k1, b)  # one row per model

@@ -63,3 +63,16 @@ def test_matching_blocks_keeps_the_postings_it_asks_for(spark):
     ranked = postings.match_blocks(queries, postings.posting_blocks(index))
     assert re.search(r"InMemoryTableScan \[[^\]]*bm25#", _plan(ranked))
     assert sorted(map(tuple, ranked.collect())) == sorted(map(tuple, retrieval.bm25_match(queries, index).collect()))
+
+
+def test_a_batch_stores_its_terms_once(spark, tmp_path):
+    mentions = spark.createDataFrame(ROWS, MENTIONS)
+    path = f"file://{tmp_path}/index"
+    index_upkeep.add_batch(mentions.filter("disease <> 'd2'"), path, "a")
+    index_upkeep.add_batch(mentions, path, "b")
+    assert {n for n in os.listdir(tmp_path / "index" / "b") if not n.startswith(".")} == {"terms", "concepts", "diseases", "_done"}
+    grown = index_upkeep.read_index(spark, path)
+    assert "SortMergeJoin" not in _plan(grown)
+    whole = retrieval.bm25_index(mentions).select(grown.columns)
+    key = lambda df: sorted((str(tuple(r)[:7]), round(r.bm25, 9)) for r in df.collect())
+    assert key(grown) == key(whole)
